@@ -89,6 +89,21 @@ def texts_of(batch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]
 
 
+def frequent(counts: DataFrame, key: str, limit: int, max_bytes: int) -> list:
+    """Rows of counts (key, n, ...) with the largest n and a key of max_bytes at most; never more than limit.
+
+    A histogram of n by logarithm (a fixed number of bins) gives the least n that fits, so tasks send no
+    candidates of their own; rows of equal n are in or out together, bar the resolution of a bin.
+    """
+    short = counts.where(F.octet_length(key) <= max_bytes).withColumn("_bin", F.floor(F.log2(F.col("n").cast("double")) * 32))
+    left, least = limit, None
+    for r in sorted(short.groupBy("_bin").agg(F.count("*").alias("c")).collect(), key=lambda r: -r["_bin"]):
+        if r["c"] > left:
+            break
+        left, least = left - r["c"], r["_bin"]
+    return [] if least is None else short.where(F.col("_bin") >= least).drop("_bin").collect()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for edges (a, b): component is the smallest id that a node reaches.
 
