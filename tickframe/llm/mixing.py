@@ -36,25 +36,25 @@ def targets(per_source: DataFrame, share: float, cap: float, weights=WEIGHTS) ->
     return rows.withColumn("at", level).select("source", "source_size", F.coalesce(F.least("most", F.col("weight") * F.col("at")), F.col("most")).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of docs (doc_id, text, source).
+def sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, hash: all that the thresholds need, written once."""
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    return stored(docs.select("doc_id", "source", words.alias("size"), hashed(F.col("doc_id")).alias("hash")), "sized")
+
+
+def thresholds(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> DataFrame:
+    """s, source_size, target, base, threshold: a row per source of sizes, the table that sized() gives.
 
     Every document is taken floor(target / source_size) times, and once more where its hash is below
     the source's threshold. The threshold is a number of DIGITS digits: each digit comes from one
     histogram of sizes by (source, digit) over the documents that share the digits so far, that is
     all documents, then the boundary bin alone, then its boundary bin. The last boundary bin is taken
     if that brings the source nearer its target. No sort of documents takes place.
-
-    Null or empty text: size 0, taken 0. Null source: a source of its own, the last. Null doc_id:
-    one hash for all of them. Rows with equal doc_id share one hash and so one decision. An empty
-    table gives no rows. Other columns are ignored. share above cap takes all sources to their cap.
     """
-    sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), hashed(F.col("doc_id")).alias("hash"))
-    sized = stored(sized, "sized")
-    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
+    plan = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap, weights)
     plan = plan.withColumn("base", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0)))
     plan = plan.withColumn("need", F.col("target") - F.col("base") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long"))
-    here, left = sized, plan
+    here, left = sizes, plan
     for digit in range(DIGITS):
         shift = (DIGITS - 1 - digit) * BITS
         if digit:
@@ -73,10 +73,38 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS)
             F.when(F.col("edge").isNull(), F.lit(0).cast("long")).otherwise(F.col("edge.in_bin")).alias("in_bin"),
         )
         left = stored(left, "thresholds")
-    left = left.select(F.col("source").alias("s"), "source_size", "target", "base", (F.col("prefix") + (2 * F.col("need") > F.col("in_bin")).cast("long")).alias("threshold"))
-    out = sized.join(left, sized.source.eqNullSafe(left.s))
-    copies = (F.col("base") + F.when((F.col("hash") < F.col("threshold")) & (F.col("base") < cap), 1).otherwise(0)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return left.select(F.col("source").alias("s"), "source_size", "target", "base", (F.col("prefix") + (2 * F.col("need") > F.col("in_bin")).cast("long")).alias("threshold"), F.lit(cap).alias("most"))
+
+
+def copies(plan: DataFrame, at: Column) -> Column:
+    """How often a document with the hash at is taken by its source's row of plan."""
+    more = F.when((at < plan["threshold"]) & (plan["base"] < plan["most"]), 1).otherwise(0)
+    return (plan["base"] + more).cast("long")
+
+
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row of docs (doc_id, text, source).
+
+    See thresholds() for the method. Null or empty text: size 0, taken 0. Null source: a source of its own,
+    the last. Null doc_id: one hash for all of them. Rows with equal doc_id share one hash and so one
+    decision. An empty table gives no rows. Other columns are ignored. share above cap takes all sources to
+    their cap.
+    """
+    sizes = sized(docs)
+    plan = thresholds(sizes, share, cap, weights)
+    out = sizes.join(plan, sizes.source.eqNullSafe(plan.s))
+    n = copies(plan, F.col("hash"))
+    return out.select("doc_id", "source", "size", "source_size", "target", n.alias("copies"), (n * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights=WEIGHTS) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it; documents without a word go by hash too.
+
+    Only the plan, a row per source, joins docs: the decision is a comparison of hashes where the row is.
+    """
+    plan = thresholds(sized(docs), share, cap, weights)
+    out = docs.join(plan, docs["source"].eqNullSafe(plan["s"])).withColumn("_copies", copies(plan, hashed(docs["doc_id"]))).where("_copies > 0")
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).drop("_copy")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

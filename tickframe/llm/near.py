@@ -202,5 +202,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, that near_duplicates() keeps, and of rows with one doc_id only one.
+
+    Rows with a null doc_id stay.
+    """
+    kept = stored(near_duplicates(docs, k, percent).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
+    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
+    again = kept.where("_n > 1 and _id is not null")
+    if again.isEmpty():
+        return out
+    is_again = docs["doc_id"].cast("long") == again["_id"]
+    return out.join(again, is_again, "left_anti").union(out.join(again, is_again, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
