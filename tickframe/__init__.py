@@ -1,0 +1 @@
+"""A PySpark-native engine for labelled metric time series."""
