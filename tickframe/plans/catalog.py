@@ -139,11 +139,11 @@ def register_the_rest(spark, sf_dir):
     return S.register(rows, known).select("name", F.col("labels")["user"].alias("usr"), "series_id")
 
 
-@query(f"SELECT ts_ns - ts_ns % {DAY} AS ts, round(avg(value), 4) AS value, count(*) AS count FROM {EVENTS} WHERE name = 'click' AND usr = '46' GROUP BY ALL")
+@query(f"SELECT ts_ns - ts_ns % {DAY} AS ts, round(avg(value), 4) AS value, count(*) AS count FROM {EVENTS} WHERE name = 'error' AND usr = '8' GROUP BY ALL")
 def series_lookup(spark, sf_dir):
     rows = events(spark, sf_dir)
     dim = S.register(rows, S.empty(spark))
-    own = S.with_ids(rows, dim).join(F.broadcast(S.lookup(dim, "click", {"user": "46"}).select("series_id")), "series_id", "left_semi")
+    own = S.with_ids(rows, dim).join(F.broadcast(S.lookup(dim, "error", {"user": "8"}).select("series_id")), "series_id", "left_semi")
     return rounded(A.aggregate(own, "avg", DAY).drop("series_id"))
 
 
