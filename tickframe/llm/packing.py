@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 from .common import partitions, stored, table, texts_of
 
 #: Distinct words whose ids a worker remembers, and the longest such word in bytes.
-REMEMBER, REMEMBER_BYTES = 400_000, 64
+REMEMBER, REMEMBER_BYTES = 800_000, 64
 _known: dict[bytes, bytes] = {}
+_MARKS = b".,;:!?%$*&#"
 
 
 def encoder(path: str):
     """texts (UTF-8) to the bytes of their ids (little-endian uint32), the same as the library's.
 
     For a tokenizer that drops white space, no token spans it: a text's ids are its words' ids in a row,
-    so the library encodes each distinct word once while it is remembered.
+    so the library encodes each distinct word once while it is remembered, and marks that end words apart.
     """
     import os
 
@@ -33,16 +34,22 @@ def encoder(path: str):
     def encode(texts: list[bytes]) -> list[bytes]:
         if len(_known) > REMEMBER:
             _known.clear()
-        words = [x.split() for x in texts]
-        new = list(set().union(*words) - _known.keys())
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
+        # the tokenizer lower-cases all but its special strings
+        words = [(x if b"<|" in x else x.lower()).split() for x in texts]
+        new = [w for w in set().union(*words) if w not in _known]
+        # a mark after a letter begins a token of its own: most such words are known without the mark
+        ended = {w: len(h) for w in new if w[-1] in _MARKS and b"<|" not in w and (h := w.rstrip(_MARKS)) and 97 <= h[-1] <= 122}
+        parts = {x for w, k in ended.items() for x in (w[:k], w[k:])}
+        whole = [w for w in parts.union(w for w in new if w not in ended) if w not in _known]
+        for i in range(0, len(whole), 5000):
+            part = whole[i : i + 5000]
             ids = library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             _known.update(zip(part, (np.asarray(e.ids, "<u4").tobytes() for e in ids), strict=True))
+        _known.update((w, _known[w[:k]] + _known[w[k:]]) for w, k in ended.items())
         out = [b"".join(map(_known.__getitem__, w)) for w in words]
-        for w in new:
+        for w in (*new, *parts):
             if len(w) > REMEMBER_BYTES:
-                del _known[w]
+                _known.pop(w, None)
         return out
 
     return encode
