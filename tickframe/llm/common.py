@@ -47,6 +47,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that joins hold in every task; a side with more is shuffled.
+HELD = 250_000
+
+
+def checked(side: DataFrame) -> DataFrame:
+    """side (a stored table of short rows) for a join: broadcast if it has HELD rows at most, else as it is."""
+    return F.broadcast(side) if side.count() <= HELD else side
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -89,6 +98,16 @@ def texts_of(batch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]
 
 
+def lowest(rows: DataFrame, limit: int, total: int, *columns: str) -> DataFrame:
+    """At most limit of total rows, those with the lowest hashes of columns: a sample alike on every run.
+
+    Rows above twice the hash that limit calls for are left out first, so tasks send some 2 * limit rows in all.
+    """
+    key = F.xxhash64(*columns)
+    share = min(1.0, (2 * limit + 200) / max(total, 1))
+    return rows.where(F.shiftrightunsigned(key, 33) <= int(share * (1 << 31))).orderBy(key, *columns).limit(limit)
+
+
 def frequent(counts: DataFrame, key: str, limit: int, max_bytes: int) -> list:
     """Rows of counts (key, n, ...) with the largest n and a key of max_bytes at most; never more than limit.
 
@@ -104,16 +123,55 @@ def frequent(counts: DataFrame, key: str, limit: int, max_bytes: int) -> list:
     return [] if least is None else short.where(F.col("_bin") >= least).drop("_bin").collect()
 
 
+#: A task joins components over so many edges at most.
+EDGES = 1 << 20
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """(a, b): each node with the smallest id of its component over the edges of its own task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        up: dict[int, int] = {}
+
+        def root(x):
+            top = x
+            while (over := up.get(top, top)) != top:
+                top = over
+            while (over := up.get(x, x)) != top:
+                up[x], x = top, over
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+        nodes = [x for x in up if root(x) != x]
+        for i in range(0, len(nodes), 100_000):
+            part = nodes[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for edges (a, b): component is the smallest id that a node reaches.
 
-    Large-star and small-star steps alternate until nothing changes. Each step is a minimum per
-    node (combined before the shuffle) and a join that Spark can split, so one very large
-    component does not meet in one task; nothing is collected but two totals a round.
+    Tasks first reduce EDGES edges each to a forest of stars; a single such task has the answer. Of more,
+    large-star and small-star steps alternate with that until nothing changes. Each step is a minimum per
+    node (combined before the shuffle) and a join that Spark can split, so one very large component does not
+    meet in one task; nothing is collected but two totals a round.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = stored(edges.where("a <> b").select("a", "b"), "edges")
     seen = None
     while True:
+        tasks = -(-edges.count() // EDGES)
+        if tasks > 1:
+            edges = edges.repartition(tasks)
+        edges = stored(forest(edges.coalesce(max(1, tasks))), "forest")
+        if tasks <= 1:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts_of
+from .common import lowest, stored, table, texts_of
 from .tagger import KINDS, Tagger, encoded, tags_of
 
 #: Windows of WIDTH code points start every STEP: each place lies in two, once near the middle.
@@ -18,7 +18,7 @@ WIDTH, STEP = 96, 48
 #: The model trains on at most so many windows of each kind, and of windows without any span: the lowest hashes.
 SAMPLE = 1200
 #: A span is added where each of its tags has this probability at least.
-SURE = 0.5
+SURE = 0.3
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -106,8 +106,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
     """
     windows = stored(training_windows(docs).dropDuplicates(["hash"]), "windows")
     chosen = None
-    for k in range(len(KINDS) + 1):
-        part = windows.where(F.col("kind") == k).orderBy("hash").limit(sample)
+    for k, n in windows.groupBy("kind").count().collect():
+        part = lowest(windows.where(F.col("kind") == k), sample, n, "hash")
         chosen = part if chosen is None else chosen.union(part)
 
     def fit(batches):
@@ -122,6 +122,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
         model = Tagger().fit(np.concatenate([chars, fresh]), np.concatenate([tags, tags]))
         yield pa.RecordBatch.from_arrays([pa.array(list(model.w)), pa.array([x.astype("<f4").tobytes() for x in model.w.values()], pa.binary())], ["name", "weights"])
 
+    if chosen is None:
+        return None
     weights = {r.name: bytes(r.weights) for r in chosen.coalesce(1).mapInArrow(fit, "name string, weights binary").collect()}
     if not weights:
         return None
