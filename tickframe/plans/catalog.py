@@ -59,12 +59,13 @@ def lineitems(spark, sf_dir) -> DataFrame:
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 4) for c in columns or ("value",)})
+    """To 4 places; the small offset takes values that lie between two of them the same way in any order of summation."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in columns or ("value",)})
 
 
 # range aggregates ------------------------------------------------------------
 def _range_sql(value: str, source: str = EVENTS, where: str = "", step: int = HOUR) -> str:
-    return f"SELECT name, ts_ns - ts_ns % {step} AS ts, round({value}, 4) AS value, count(*) AS count FROM {source} {where} GROUP BY ALL"
+    return f"SELECT name, ts_ns - ts_ns % {step} AS ts, round({value} + 1e-7, 4) AS value, count(*) AS count FROM {source} {where} GROUP BY ALL"
 
 
 def _range(agg: str, value: str) -> None:
@@ -79,7 +80,7 @@ for _agg, _sql in (("avg", "avg(value)"), ("sum", "sum(value)"), ("min", "min(va
     _range(_agg, _sql)
 
 
-@query(f"WITH b AS (SELECT name, ts_ns - ts_ns % {HOUR} AS ts, avg(value) AS v, count(*) AS count FROM {EVENTS} GROUP BY ALL) SELECT name, ts, round(v - coalesce(lag(v) OVER (PARTITION BY name ORDER BY ts), 0), 4) AS value, count FROM b")
+@query(f"WITH b AS (SELECT name, ts_ns - ts_ns % {HOUR} AS ts, avg(value) AS v, count(*) AS count FROM {EVENTS} GROUP BY ALL) SELECT name, ts, round(v - coalesce(lag(v) OVER (PARTITION BY name ORDER BY ts), 0) + 1e-7, 4) AS value, count FROM b")
 def range_delta_1h(spark, sf_dir):
     return rounded(A.aggregate(events(spark, sf_dir), "delta", HOUR, ["name"]))
 
@@ -139,7 +140,7 @@ def register_the_rest(spark, sf_dir):
     return S.register(rows, known).select("name", F.col("labels")["user"].alias("usr"), "series_id")
 
 
-@query(f"SELECT ts_ns - ts_ns % {DAY} AS ts, round(avg(value), 4) AS value, count(*) AS count FROM {EVENTS} WHERE name = 'error' AND usr = '8' GROUP BY ALL")
+@query(f"SELECT ts_ns - ts_ns % {DAY} AS ts, round(avg(value) + 1e-7, 4) AS value, count(*) AS count FROM {EVENTS} WHERE name = 'error' AND usr = '8' GROUP BY ALL")
 def series_lookup(spark, sf_dir):
     rows = events(spark, sf_dir)
     dim = S.register(rows, S.empty(spark))
@@ -197,14 +198,14 @@ def write_requests(spark, sf_dir):
     return parsed.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(f"SELECT name, count(*) AS n, CAST(min(ts_ns) AS BIGINT) AS first, CAST(max(ts_ns) AS BIGINT) AS last, round(sum(value), 4) AS total FROM {EVENTS} GROUP BY name")
+@query(f"SELECT name, count(*) AS n, CAST(min(ts_ns) AS BIGINT) AS first, CAST(max(ts_ns) AS BIGINT) AS last, round(sum(value) + 1e-7, 4) AS total FROM {EVENTS} GROUP BY name")
 def bulk_json(spark, sf_dir):
     """JSON arrays of points, one per user, read back with all 19 digits of their times."""
     rows = events(spark, sf_dir)
     point = F.struct("name", "labels", F.col("ts_ns").alias("ts"), "value")
     bodies = rows.groupBy(F.col("labels")["user"].cast("long").alias("seq"), F.pmod("seq", F.lit(16)).alias("part")).agg(F.to_json(F.collect_list(point)).alias("body"))
     good, _ = requests.accept(requests.bulk(bodies.select("seq", "body")))
-    return good.groupBy("name").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first"), F.max("ts_ns").alias("last"), F.round(F.sum("value"), 4).alias("total"))
+    return good.groupBy("name").agg(F.count("*").alias("n"), F.min("ts_ns").alias("first"), F.max("ts_ns").alias("last"), F.round(F.sum("value") + 1e-7, 4).alias("total"))
 
 
 # points ----------------------------------------------------------------------
@@ -231,7 +232,7 @@ _LATE = f"""WITH r AS (SELECT *, max(ts_ns) OVER (ORDER BY seq ROWS BETWEEN UNBO
 j AS (SELECT *, ts_ns >= greatest(coalesce(pm - pm % {MONTH}, 0), 0) AS accepted FROM r)"""
 
 
-@query(_LATE + " SELECT name, count_if(accepted) AS accepted, count(*) AS total FROM j GROUP BY name")
+@query(_LATE + " SELECT name, CAST(count_if(accepted) AS BIGINT) AS accepted, count(*) AS total FROM j GROUP BY name")
 def late_accept(spark, sf_dir):
     rows = P.floors(orders(spark, sf_dir), MONTH, 0)
     return rows.groupBy("name").agg(F.count_if(P.on_time()).alias("accepted"), F.count("*").alias("total"))
@@ -266,12 +267,12 @@ def _daily(spark, sf_dir) -> DataFrame:
     return A.downsample(events(spark, sf_dir).withColumn("usr", F.col("labels")["user"]), DAY, ["name", "usr"])
 
 
-@query(f"SELECT name, usr, ts_ns, round(value, 4) AS value, c AS count, lo AS min, hi AS max FROM {_DAILY}")
+@query(f"SELECT name, usr, ts_ns, round(value + 1e-7, 4) AS value, c AS count, lo AS min, hi AS max FROM {_DAILY}")
 def downsample_1d(spark, sf_dir):
     return rounded(_daily(spark, sf_dir)).select("name", "usr", "ts_ns", "value", "count", "min", "max")
 
 
-@query(f"SELECT name, ts_ns - ts_ns % {7 * DAY} AS ts, round(avg(value), 4) AS value, count(*) AS count FROM {_DAILY} GROUP BY ALL")
+@query(f"SELECT name, ts_ns - ts_ns % {7 * DAY} AS ts, round(avg(value) + 1e-7, 4) AS value, count(*) AS count FROM {_DAILY} GROUP BY ALL")
 def requery_downsampled(spark, sf_dir):
     return rounded(A.aggregate(_daily(spark, sf_dir), "avg", "7d", ["name"]))
 
@@ -318,7 +319,7 @@ def _engine(spark, sf_dir, name: str, source=events, **options) -> Engine:
     return e
 
 
-@query(f"SELECT series_id, ts_ns - ts_ns % {HOUR} AS ts, round(sum(value), 4) AS value, count(*) AS count FROM {EVENTS} e JOIN {_SERIES} s ON e.name = s.name AND e.usr = s.usr WHERE ts_ns >= {JANUARY[0]} AND ts_ns < {JANUARY[1]} GROUP BY ALL")
+@query(f"SELECT series_id, ts_ns - ts_ns % {HOUR} AS ts, round(sum(value) + 1e-7, 4) AS value, count(*) AS count FROM {EVENTS} e JOIN {_SERIES} s ON e.name = s.name AND e.usr = s.usr WHERE ts_ns >= {JANUARY[0]} AND ts_ns < {JANUARY[1]} GROUP BY ALL")
 def store_range(spark, sf_dir):
     """Written to the store by shard, and read with partition pruning."""
     e = _engine(spark, sf_dir, "range")
@@ -339,7 +340,7 @@ def store_last_write(spark, sf_dir):
 _SEALED = f"ts_ns - ts_ns % {DAY} < (SELECT max(ts_ns - ts_ns % {DAY}) FROM {EVENTS})"
 
 
-@query(f"SELECT series_id, ts_ns - ts_ns % {HOUR} AS ts_ns, round(avg(value), 4) AS value, count(*) AS count, min(value) AS min, max(value) AS max FROM {EVENTS} e JOIN {_SERIES} s ON e.name = s.name AND e.usr = s.usr WHERE {_SEALED} GROUP BY ALL")
+@query(f"SELECT series_id, ts_ns - ts_ns % {HOUR} AS ts_ns, round(avg(value) + 1e-7, 4) AS value, count(*) AS count, min(value) AS min, max(value) AS max FROM {EVENTS} e JOIN {_SERIES} s ON e.name = s.name AND e.usr = s.usr WHERE {_SEALED} GROUP BY ALL")
 def store_compact(spark, sf_dir):
     """Sealed shards are replaced by their downsampled rows."""
     e = _engine(spark, sf_dir, "compact", downsample=HOUR)
