@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from tickframe.llm import near
+from tickframe.llm import common, near
 from tickframe.llm.common import components, table
 
 from .fixtures import odd_docs, rows
@@ -48,9 +48,13 @@ def test_components(spark, sf, kind, k):
     assert rows(near.near_duplicates(docs, k)) == brute(docs.collect(), k, 80)
 
 
-def test_large_nodes(spark, monkeypatch):
+@pytest.mark.parametrize("sizes", [(4, 1000, 4), (4, 8, 2), (2, 3, 0)])
+def test_large_nodes(spark, monkeypatch, sizes):
     """Groups of texts a few words apart, far more than a small node holds, and chains at the threshold."""
-    monkeypatch.setattr(near, "SMALL", 4)
+    for name, v in zip(("SMALL", "OUTSIDE", "MORE"), sizes, strict=True):
+        monkeypatch.setattr(near, name, v)
+    monkeypatch.setattr(near, "BLOCK_X", 5)
+    monkeypatch.setattr(near, "BLOCK_Y", 7)
     rng = random.Random(5)
     word = [f"w{i}" for i in range(3000)]
     out = []
@@ -70,8 +74,34 @@ def test_large_nodes(spark, monkeypatch):
     assert rows(near.near_duplicates(docs, 2)) == brute(docs.collect(), 2, 80)
 
 
-def test_component_ids(spark):
+@pytest.mark.parametrize("edges_a_task", [1 << 20, 20])
+def test_component_ids(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(common, "EDGES", edges_a_task)
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)] + [(200, 201 + i) for i in range(50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(1, 41)} | {100: 90, 95: 90} | {201 + i: 200 for i in range(50)}
     assert {k: v for k, v in got.items() if k != v} == want
+
+
+def test_odd_sketches_lose_no_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 700, 1024, 1030, 5000, 40_000):
+        for _ in range(20):
+            base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            cut = int(n / 9)
+            a, b = np.unique(base), np.unique(np.concatenate([base[cut:], rng.integers(0, 1 << 63, cut, dtype=np.uint64)]))
+            (la, ca, sa), (lb, cb, sb) = near.odd_sketch(a), near.odd_sketch(b)
+            i, j = (0, 0) if la == lb else (0, 1) if la == lb + 1 else (1, 0)
+            differ = (int.from_bytes(sa[i], 'big') ^ int.from_bytes(sb[j], 'big')).bit_count()
+            most = (ca[i] + cb[j]) / 9
+            assert differ <= most + (5 * most**0.5 if max(la, lb) else 0)
+
+
+def test_matches_its_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    assert rows(near.op3_near_duplicates(spark, sf)) == sorted(con.sql(near.OP3_SQL).fetchall(), key=repr)

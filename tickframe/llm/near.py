@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,14 @@ WIDTH = 128
 #: 1 in 4, two: 1.25 = 1 / 0.8 on average, so paths neither die out nor multiply at a similarity of 0.8. A pair at
 #: 0.8 stays together in one tree at a rate of 0.64 to this depth, and in none of 12 trees at 5 in a million.
 TREES, DEPTH, SECOND = 12, 3, 0.25
-#: Nodes of so many sets at most are compared pair by pair; larger ones branch on, up to so many more levels.
-SMALL, MORE = 48, 4
+#: Nodes of so many sets at most are compared pair by pair at once. In others stars join what is close; then sets
+#: outside a node's main component, if they are so many at most, are compared with the node; nodes with more
+#: branch on, up to so many more levels.
+SMALL, OUTSIDE, MORE = 48, 1024, 4
+#: Bits of an odd sketch: whether an odd number of a set's members fall on each.
+BITS = 1024
+#: Sets of a block, on the side outside a main component and on that of the node.
+BLOCK_X, BLOCK_Y = 1024, 8192
 #: Of the 128 pairs of 2-bit values of two sketches, a pair at 0.8 differs in 19.2 on average, with a deviation of
 #: 4.04: the bound lies five deviations off.
 APART = 40
@@ -114,33 +121,136 @@ def alike() -> Column:
     return apart <= APART
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def odd_sketch(members: np.ndarray) -> tuple[int, list[int], list[bytes]]:
+    """level, and for it and the next level the members sampled and their odd sketch.
+
+    Level l takes one in 2^l members, by hash, such that BITS at most are expected. Two sets at 0.8 are at
+    equal or neighbouring levels, so they have one in common.
+    """
+    level = max(0, int(np.ceil(np.log2(max(len(members), 1) / BITS))))
+    counts, sketches = [], []
+    for k in (level, level + 1):
+        own = members[(members >> np.uint64(40)) & np.uint64((1 << k) - 1) == 0]
+        counts.append(len(own))
+        odd = np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+        sketches.append(np.packbits(odd.astype(np.uint8)).tobytes())
+    return level, counts, sketches
+
+
+def close_enough(x: pd.Series, y: pd.DataFrame, sketches: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """For which rows of y the odd sketches allow a similarity of percent with x.
+
+    Sketches differ in one bit at most for each member that only one of the sets has, and those are at most
+    (100 - percent) / (100 + percent) of both sizes: without sampling no pair is lost, and with it the bound
+    leaves room for five deviations of the sample.
+    """
+    out = np.zeros(len(y), bool)
+    for step, own, other in ((0, "o", "o"), (1, "o", "p"), (-1, "p", "o")):
+        at = np.flatnonzero(y["level"].to_numpy() == x["level"] - step)
+        if not len(at):
+            continue
+        differ = np.bitwise_count(sketches[other][at] ^ np.frombuffer(x[own], np.uint64)).sum(1, dtype=np.int64)
+        most = (x["c0" if own == "o" else "c1"] + y["c0" if other == "o" else "c1"].to_numpy()[at]) * ((100 - percent) / (100 + percent))
+        sampled = step != 0 or x["level"] > 0
+        out[at] = differ <= most + (5 * np.sqrt(most) if sampled else 0)
+    return out
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, members, level, c0, c1, o, p: odd sketches and the full sets of the documents in ids, written once.
+
+    ids grow with docs, so they are never broadcast: the plan is one and the same at every size.
+    """
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(lower_words(x), k).view(np.int64) for x in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "members"])
+            sets = [shingles(lower_words(x), k) for x in texts_of(batch)]
+            rows = [(level, *counts, *sketches) for level, counts, sketches in map(odd_sketch, sets)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = [pa.int64()] * 3 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "members", "level", "c0", "c1", "o", "p"])
+
+    chosen = docs.select(F.col("doc_id").cast("long"), "text").join(ids.hint("merge"), "doc_id", "left_semi")
+    return stored(chosen.mapInArrow(run, "doc_id long, members array<long>, level long, c0 long, c1 long, o binary, p binary"), "sets")
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, members array<long>"), "sets")
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("all")).where(100 * F.col("common") >= percent * F.col("all")).select("a", "b").distinct()
+    return both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y") - common).alias("all")).where(100 * F.col("common") >= percent * F.col("all")).select("a", "b")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links that join all that the pairs can join.
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, links: DataFrame) -> DataFrame:
+    """links and the verified ones that join all that the pairs (a < b, may repeat) can join.
 
     First each set with its smallest partner; of the other pairs only those whose ends that left apart.
     """
-    first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = stored(verified(first, docs, k, percent), "links")
-    of = components(links)
-    rest = pairs.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    rest = stored(rest, "rest")
-    return links if rest.isEmpty() else links.union(stored(verified(rest, docs, k, percent), "links"))
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = links.union(stored(verified(first, sets, percent), "links"))
+    # those that were tried and failed come again, once each
+    rest = stored(apart(pairs, components(links)).distinct(), "rest")
+    return links if rest.isEmpty() else links.union(stored(verified(rest, sets, percent), "links"))
+
+
+def apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    out = pairs.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def labelled(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """rows (key, leaf, rep, sketch) with label, their component so far."""
+    return rows.join(of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+
+
+def mixed_nodes(rows: DataFrame) -> DataFrame:
+    """The labelled rows of nodes with several labels, with main, the most frequent, outside, the number of others, and n, that of all."""
+    each = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
+    size = each.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n")).where("top.c < n")
+    return stored(rows.join(size.select("key", F.col("top.label").alias("main"), (F.col("n") - F.col("top.c")).alias("outside"), "n"), "key"), "mixed")
+
+
+def _pairs(x: DataFrame, y: DataFrame, on: Column) -> DataFrame:
+    """Distinct pairs of alike sets of one node that fulfil on."""
+    out = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & on & alike())
+    return out.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def each_pair(rows: DataFrame) -> DataFrame:
+    return _pairs(rows, rows, F.col("x.rep") < F.col("y.rep"))
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """Pairs of a set and its node's centre, of different labels; the centre is drawn by node, so trees have different ones."""
+    one = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep", "label", *_SKETCH)).alias("p")).select("key", "p.rep", "p.label", *[F.col(f"p.{s}").alias(s) for s in _SKETCH])
+    return _pairs(rows, one, F.col("x.label") != F.col("y.label"))
+
+
+def outsiders(mixed_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different labels, each set outside the main component against its whole node, by odd sketches.
+
+    Both sides are cut in blocks by hash, and a block of one meets a block of the other in one group, which is
+    bounded whatever the size of the node.
+    """
+    rows = mixed_.drop("leaf", *_SKETCH).join(sets.drop("members").withColumnRenamed("doc_id", "rep"), "rep")
+    rows = rows.withColumn("xs", F.ceil(F.col("outside") / BLOCK_X)).withColumn("ys", F.ceil(F.col("n") / BLOCK_Y))
+    x = rows.where("label <> main").withColumn("side", F.lit(0)).withColumn("xb", F.pmod(F.xxhash64("rep"), "xs")).withColumn("yb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)))
+    y = rows.withColumn("side", F.lit(1)).withColumn("xb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1))).withColumn("yb", F.pmod(F.xxhash64("rep"), "ys"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        sketches = {c: np.frombuffer(b"".join(y[c]), np.uint64).reshape(len(y), -1) for c in "op"}
+        rep, label = y["rep"].to_numpy(), y["label"].to_numpy()
+        inside = label == y["main"].to_numpy()
+        out = []
+        for _, row in x.iterrows():
+            ok = (label != row["label"]) & (inside | (rep > row["rep"]))
+            ok &= close_enough(row, y, sketches, percent)
+            out.append(np.stack([np.minimum(rep[ok], row["rep"]), np.maximum(rep[ok], row["rep"])], 1))
+        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["a", "b"])
+
+    return x.unionByName(y).groupBy("key", "xb", "yb").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -149,10 +259,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Texts are lower-cased (A-Z) and cut into sets of k-word shingles; documents whose sets have a
     similarity of percent / 100 or more are linked. Equal sets are one class first, known by its smallest
     doc_id. Classes then walk TREES chosen-path trees; a node's sets share the minwise values on its path.
-    Small nodes are compared pair by pair, by sketch, and what passes on full sets. In a large node each set
-    meets one set of that node, another in each tree; where that leaves sets of several components, the node
-    branches on, and nodes whose sets are all of one component end. What is still large and mixed at the last
-    level is compared in full, across components only. So work follows links and not the square of a group.
+    Small nodes are compared pair by pair, by sketch, and what passes on full sets. In a larger node each set
+    meets one set of that node, another in each tree. Where that leaves sets of several components, those
+    outside the node's main one are compared with all of it, by sketches and then on full sets, or the node
+    branches on if they are many; nodes of one component end. What is still many at the last level is compared
+    all the same. So work follows links and not the square of a group.
 
     Null or empty text, or one without a word: an empty set, linked with nothing, component_id its own doc_id.
     Null doc_id: takes no part; component_id is null, kept true. Rows with equal doc_id are one node: their
@@ -163,40 +274,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = sets.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("d1", "d2", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig"))
     classes = stored(classes, "classes")
     reps = classes.select("rep", "sig")
-    member = sets.join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id")
-    links = stored(member.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b"), "shared")
-
-    nodes, of, level = branched(reps), None, DEPTH
-    while True:
-        rows = nodes if of is None else nodes.join(of.withColumnRenamed("node", "rep"), "rep", "left")
-        rows = rows.withColumn("label", F.col("rep") if of is None else F.coalesce("component", "rep")).drop("component")
-        size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 1 and low < high").select("key", "n")
-        rows = stored(rows.join(size, "key"), "nodes")
-        few = F.col("n") <= SMALL if level < DEPTH + MORE else F.lit(True)
-        x, y = rows.where(few).alias("x"), rows.where(few).alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & alike()).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        large = rows.where(~few)
-        any_large = not large.isEmpty()
-        if any_large:
-            one = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep", *_SKETCH)).alias("p")).select("key", F.col("p.rep").alias("pivot"), *[F.col(f"p.{s}").alias(s) for s in _SKETCH])
-            x, y = large.alias("x"), one.alias("y")
-            stars = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.pivot")) & alike())
-            pairs = pairs.union(stars.select(F.least("x.rep", "y.pivot"), F.greatest("x.rep", "y.pivot")))
-        pairs = stored(pairs.distinct(), "pairs")
-        links = stored(links.union(linked(pairs, docs, k, percent)), "links")
-        of = components(links)
-        if not any_large:
-            break
-        of = stored(of, "components")
-        label = large.select("key", "leaf", "rep").join(of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
-        still = label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        going = stored(label.join(still, "key", "left_semi").select("rep", "key", "leaf"), "going")
-        if going.isEmpty():
+    member = stored(sets.select("doc_id", "n_shingles", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "n_shingles", "rep"), "members")
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("l"), F.max("rep").alias("h")).where("l <> h").select("doc_id")
+    links = member.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+
+    nodes, level = branched(reps), DEPTH
+    size = nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    nodes = stored(nodes.join(size, "key"), "nodes")
+    large = nodes.where(F.col("n") > SMALL).drop("n")
+    pairs = stored(each_pair(nodes.where(F.col("n") <= SMALL)).union(stars(large.withColumn("label", F.col("rep")))), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(large.select("rep")).distinct()
+    members = sets_of(ids, docs, k)
+    links = linked(pairs, members, percent, links)
+    of = components(links)
+    while not (mixed_ := mixed_nodes(labelled(large, of))).isEmpty():
+        ends = (F.col("outside") <= OUTSIDE) | F.lit(level >= DEPTH + MORE)
+        pairs = outsiders(mixed_.where(ends), members, percent)
+        huge = mixed_.where(~ends).select("rep", "key", "leaf")
+        onward = not huge.isEmpty()
+        if onward:
+            large = stored(branched(huge.join(reps, "rep").select("rep", "sig", "key", "leaf"), level), "nodes")
+            pairs = pairs.union(stars(labelled(large, of)))
+        pairs = stored(pairs, "pairs")
+        if not pairs.isEmpty():
+            links = linked(pairs, members, percent, links)
+            of = components(links)
+        if not onward:
             break
-        nodes = branched(going.join(reps, "rep").select("rep", "sig", "key", "leaf"), level)
         level += 1
-    found = member.select("doc_id", "n_shingles", "rep").join(of.withColumnRenamed("node", "rep"), "rep", "left")
+    found = member.join(of.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     found = found.union(all_rows.where("doc_id is null or d1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -218,3 +324,16 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+#: All pairs that share a shingle, and components by reachability: for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM w),
+n AS (SELECT w.doc_id, count(s.sh) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(node, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT b.y, r.root FROM r JOIN both_ways b ON r.node = b.x)
+SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id, n.doc_id = min(r.root) AS kept FROM n JOIN r ON n.doc_id = r.node GROUP BY n.doc_id, n.n
+"""
