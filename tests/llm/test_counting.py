@@ -109,3 +109,18 @@ def test_token_counts(spark, sf, kind, monkeypatch):
 def test_hash_is_the_md5_prefix(spark):
     got = spark.range(7, 8).select(mixing.hashed(F.col("id")).alias("h")).first().h
     assert got == int(hashlib.md5(b"7").hexdigest()[:9], 16)
+
+
+def test_pre_tokens_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pattern = tokens._pattern()
+    texts = [
+        "Don't!! we'll SAY 'so',  it's\n\n 12,5 %\t-- ok...   ", "x<|endoftext|>Y <|endoftext|>  z<|ENDOFTEXT|>", "a　b  c\x1c d\x00,e f\u0085g",
+        "\U0001f600! 日本語。テスト,x é ²½Ⅷ ٣", "word.word,word;...\r\n\r\n  !a? $5", "", "  \n\t ", " a", "a ", "'s 's''s",
+    ]
+    for x in texts:
+        want = len(library.encode(x, add_special_tokens=False).ids)
+        assert sum(len(library.encode(p, add_special_tokens=False).ids) for p in tokens.pieces_of(x, pattern)) == want, x

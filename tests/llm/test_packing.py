@@ -33,6 +33,22 @@ def test_plan_places_every_rank_once():
     assert len(taken) <= -(-sum(k * v for k, v in counts.items()) // 4096) + 1
 
 
+def test_encoder_equals_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encode = Tokenizer.from_file(path), packing.encoder(path)
+    texts = [
+        "Don't!! we'll SAY 'so', it's 12,5 % -- ok...", "x<|endoftext|>Y <|ENDOFTEXT|>, <|startoftext|>!", "A\u0301 e\u0301, \u00c9. \u0130 \u017f\u212a",
+        "a\u3000b \u00a0c\x1c d\x00,e", "\U0001f600! 日本語。テスト,x", "word.word,word;... !a? $5 #tag &amp; 1st,", "", "  \n\t ", "ﬁ ß ẞ ǅ,",
+    ]
+    for x, got in zip(texts, encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(x, add_special_tokens=False).ids, x
+    for x in texts:
+        assert np.frombuffer(encode([x.encode()])[0], "<u4").tolist() == library.encode(x, add_special_tokens=False).ids, x
+
+
 @pytest.mark.parametrize("kind", ["odd", "table", "empty"])
 def test_pack(spark, sf, kind):
     import public_tokenizers

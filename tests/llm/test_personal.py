@@ -39,7 +39,7 @@ def test_base_spans(text):
 def test_find(spark, sf, kind):
     docs = table(spark, sf, "documents") if kind == "table" else odd_docs(spark)
     docs = docs.limit(0) if kind == "empty" else docs
-    got = personal.find(docs, personal.train(docs)).collect()
+    got = personal.find(docs, personal.train(docs, steps=30)).collect()
     want = []
     for d in docs.collect():
         spans = plain(d.text or "")

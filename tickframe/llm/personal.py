@@ -98,7 +98,7 @@ def training_windows(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "kind int, hash string, chars binary, tags binary")
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
+def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 220) -> Tagger | None:
     """A tagger from the base labels of a sample of windows (see SAMPLE); None where there are no labelled spans.
 
     Training runs in a task, on that bounded sample alone. Each window is also shown with half of its digits
@@ -119,7 +119,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
         rng = np.random.default_rng(1)
         zero = ord("0") - 32 + 4
         fresh = np.where((chars >= zero) & (chars < zero + 10) & (rng.random(chars.shape) < 0.5), rng.integers(zero, zero + 10, chars.shape), chars)
-        model = Tagger().fit(np.concatenate([chars, fresh]), np.concatenate([tags, tags]))
+        model = Tagger().fit(np.concatenate([chars, fresh]), np.concatenate([tags, tags]), steps)
         yield pa.RecordBatch.from_arrays([pa.array(list(model.w)), pa.array([x.astype("<f4").tobytes() for x in model.w.values()], pa.binary())], ["name", "weights"])
 
     if chosen is None:
