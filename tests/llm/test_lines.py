@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from tickframe.llm import lines
+from tickframe.llm import common, lines
 from tickframe.llm.common import table
 
 from .fixtures import odd_docs
@@ -61,8 +61,10 @@ def near_docs(spark):
     return spark.createDataFrame([(i, "\n".join(out[4 * i : 4 * i + 4] + ["", "ok"]), 0, "l") for i in range(50)], "doc_id long, text string, n_chars int, line string")
 
 
+@pytest.mark.parametrize("held", [250_000, 0])
 @pytest.mark.parametrize("kind", ["near", "odd", "table", "empty"])
-def test_dedup(spark, sf, kind):
+def test_dedup(spark, sf, kind, held, monkeypatch):
+    monkeypatch.setattr(common, "HELD", held)
     docs = {"near": near_docs, "odd": odd_docs}.get(kind, lambda s: table(s, sf, "documents").limit(80 if kind == "table" else 0))(spark)
     got = lines.dedup_lines(docs)
     assert got.columns == [*docs.columns, "n_lines", "n_dropped"]
