@@ -47,13 +47,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a side that joins hold in every task; a side with more is shuffled.
-HELD = 250_000
+#: Rows of a side, and elements of its lists, that joins hold in every task (some tens of MB); more is shuffled.
+HELD, HELD_ELEMENTS = 250_000, 1_000_000
 
 
-def checked(side: DataFrame) -> DataFrame:
-    """side (a stored table of short rows) for a join: broadcast if it has HELD rows at most, else as it is."""
-    return F.broadcast(side) if side.count() <= HELD else side
+def checked(side: DataFrame, elements: str | None = None) -> DataFrame:
+    """side (a stored table of fixed columns and at most one list, elements) for a join: broadcast if small, else as it is."""
+    rows, size = side.agg(F.count("*"), F.coalesce(F.sum(F.size(elements)), F.lit(0)) if elements else F.lit(0)).first()
+    return F.broadcast(side) if rows <= HELD and size <= HELD_ELEMENTS else side
 
 
 def partitions(spark: SparkSession) -> int:

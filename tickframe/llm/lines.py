@@ -89,7 +89,7 @@ def suspects(docs: DataFrame, owners: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     ids = keys.join(shared, "key", "left_semi").select(F.col("id").alias("d1")).distinct()
     wanted = owners.join(ids, "d1", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "d1")).alias("wanted"))
-    wanted = checked(stored(wanted, "wanted"))
+    wanted = checked(stored(wanted, "wanted"), "wanted")
 
     def run(batches):
         for batch in batches:
@@ -183,7 +183,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "n_dropped")
     names = docs.columns
     gone = repeats(docs).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(F.struct("line_no", "d1")).alias("_gone"))
-    gone = checked(stored(gone, "gone"))
+    gone = checked(stored(gone, "gone"), "_gone")
     key = F.col("doc_id").cast("long")
     joined = docs.join(gone, key == F.col("_of"), "left").select(*[docs[c] for c in names], "_gone")
 
