@@ -233,6 +233,8 @@ def test_log_codec_and_replay(spark, tmp_path):
     got = wal.replay(spark, str(tmp_path), 11)
     assert {(r.segment, r.seq, r.ts_ns) for r in got.collect()} == {("wal-000001.seg", 12, 7), ("wal-000002.seg", 13, 8)}
     assert tuple(wal.info(wal.replay(spark, str(tmp_path))).first()) == (2, 14, 3 * 37)
+    left = wal.segments(wal.truncated(wal.replay(spark, str(tmp_path)), 12), 5).collect()
+    assert [(r.segment, wal.decoded(bytes(r.content))["seq"].tolist()) for r in left] == [("wal-000002.seg", [13])]
 
 
 def test_stream_into_the_store(spark):

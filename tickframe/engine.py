@@ -97,10 +97,10 @@ class Engine:
         self.metrics.gauge("blocks_retained", out["scanned"] - out["removed"])
         return out
 
-    def shards(self) -> DataFrame:
+    def shards(self, archive_before: int | None = None, rotated: bool = False) -> DataFrame:
+        """Shards with their state; rotated: the newest counts as sealed, and still takes points."""
         own = self.store.blocks().groupBy("shard_start").agg(F.sum("points").alias("points"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
-        newest = own.agg(F.max("shard_start").alias("newest"))
-        return own.crossJoin(F.broadcast(newest)).select("shard_start", (F.col("shard_start") + self.window).alias("shard_end"), "points", "min_ts", "max_ts", F.when(F.col("shard_start") < F.col("newest"), "sealed").otherwise("active").alias("state"))
+        return A.with_states(own, self.window, archive_before, rotated)
 
     def stats(self) -> DataFrame:
         return self.store.stats()

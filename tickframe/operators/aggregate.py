@@ -85,12 +85,22 @@ def reaggregate(rows: DataFrame, agg: str, step: int | str, keys: Sequence[str]
     return rows.groupBy(*keys, bucket(F.col("ts_ns"), duration_ns(step)).alias("ts")).agg(value.alias("value"), F.sum("count").alias("count"))
 
 
-def shards(points: DataFrame, window: int) -> DataFrame:
-    """shard_start, shard_end, points, min_ts, max_ts, state: all but the newest shard are sealed."""
+def shards(points: DataFrame, window: int, archive_before: int | None = None, rotated: bool = False) -> DataFrame:
+    """shard_start, shard_end, points, min_ts, max_ts, state.
+
+    All but the newest shard are sealed, and the newest too once rotated. Sealed shards that end at
+    archive_before or earlier are archived.
+    """
     own = points.groupBy(bucket(F.col("ts_ns"), window).alias("shard_start")).agg(F.count("*").alias("points"), F.min("ts_ns").alias("min_ts"), F.max("ts_ns").alias("max_ts"))
+    return with_states(own, window, archive_before, rotated)
+
+
+def with_states(own: DataFrame, window: int, archive_before: int | None = None, rotated: bool = False) -> DataFrame:
     newest = own.agg(F.max("shard_start").alias("newest"))
-    out = own.crossJoin(F.broadcast(newest))
-    return out.select("shard_start", (F.col("shard_start") + window).alias("shard_end"), "points", "min_ts", "max_ts", F.when(F.col("shard_start") < F.col("newest"), "sealed").otherwise("active").alias("state"))
+    end = F.col("shard_start") + window
+    sealed = (F.col("shard_start") < F.col("newest")) | F.lit(rotated)
+    state = F.when(sealed & (end <= F.lit(archive_before)), "archived").when(sealed, "sealed").otherwise("active")
+    return own.crossJoin(F.broadcast(newest)).select("shard_start", end.alias("shard_end"), "points", "min_ts", "max_ts", state.alias("state"))
 
 
 def shard_counts(shards_: DataFrame) -> DataFrame:

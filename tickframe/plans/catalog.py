@@ -292,6 +292,12 @@ def shard_stats(spark, sf_dir):
     return A.shard_counts(A.shards(events(spark, sf_dir), DAY))
 
 
+@query(f"WITH s AS (SELECT DISTINCT ts_ns - ts_ns % {DAY} AS s FROM {EVENTS}), j AS (SELECT s, CASE WHEN s + {DAY} <= {JANUARY[1]} THEN 'archived' ELSE 'sealed' END AS state FROM s) SELECT count(*) AS shards, CAST(0 AS BIGINT) AS active, CAST(count(*) FILTER (state = 'sealed') AS BIGINT) AS sealed, CAST(count(*) FILTER (state = 'archived') AS BIGINT) AS archived FROM j")
+def shard_archive(spark, sf_dir):
+    """After a rotation all shards are sealed; those that end by 5 January are archived."""
+    return A.shard_counts(A.shards(events(spark, sf_dir), DAY, JANUARY[1], rotated=True))
+
+
 @query(f"SELECT min(ts_ns - ts_ns % {DAY}) AS shard_start FROM {EVENTS} HAVING count(*) > 0")
 def next_block(spark, sf_dir):
     """The block to compact next: the oldest shard."""

@@ -72,6 +72,11 @@ def segments(records: DataFrame, per_segment: int = (64 << 20) // RECORD) -> Dat
     return rows.select("segment", "seq", "series_id", "ts_ns", "value").groupBy("segment").applyInPandas(pack, "segment string, content binary")
 
 
+def truncated(records: DataFrame, upto: int) -> DataFrame:
+    """Records after seq upto, to be written anew by segments(); whole segments before it drop out."""
+    return records.where(F.col("seq") > upto).drop("segment")
+
+
 def info(records: DataFrame) -> DataFrame:
     """segments, next_seq, size of what replay() gives."""
     return records.agg(F.count_distinct("segment").alias("segments"), F.coalesce(F.max("seq") + 1, F.lit(0)).alias("next_seq"), (F.count("*") * RECORD).alias("size"))
