@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 
-CONTEXT, DIM, BATCH, NOISE = 2, 24, 1024, 64
+CONTEXT, DIM, BATCH, NOISE = 2, 24, 2048, 32
 
 
 def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct indices and the sums of their rows."""
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # fewer than 65536 symbols
     sorted_ = at[order]
     first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
     return sorted_[first], np.add.reduceat(rows[order], first, axis=0)
@@ -31,6 +31,7 @@ class Model:
         self.seen = {k: np.full(len(v), 1e-6, np.float32) for k, v in self.w.items()}
         self.rng = np.random.default_rng(seed + 1)
         self.steps = np.cumsum(self.p)
+        self.noise = np.log(NOISE * self.p).astype(np.float32)
         self.table: np.ndarray | None = None
 
     def contexts(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -60,10 +61,11 @@ class Model:
             x = w["T"][c].reshape(len(at), CONTEXT * DIM)
             q = x @ w["C"]
             r, rn = w["R"][t], w["R"][noise]
-            d = (q * r).sum(1) + w["b"][t, 0] - np.log(NOISE * self.p[t])
-            dn = q @ rn.T + w["b"][noise, 0] - np.log(NOISE * self.p[noise])
-            g = ((0.5 * np.tanh(0.5 * d) - 0.5) / len(at)).astype(np.float32)
-            gn = ((0.5 * np.tanh(0.5 * dn) + 0.5) / len(at)).astype(np.float32)
+            d = (q * r).sum(1) + w["b"][t, 0] - self.noise[t]
+            dn = q @ rn.T + w["b"][noise, 0] - self.noise[noise]
+            half = np.float32(0.5)
+            g = (half * np.tanh(half * d) - half) / np.float32(len(at))
+            gn = (half * np.tanh(half * dn) + half) / np.float32(len(at))
             dq = g[:, None] * r + gn @ rn
             both, grad = summed(np.r_[t, noise], np.r_[np.c_[g[:, None] * q, g], np.c_[gn.T @ q, gn.sum(0)]])
             dx = dq @ w["C"].T

@@ -18,7 +18,7 @@ from .lbl import DIM, Model
 #: Words with a symbol of their own, classes of all others (by their last bytes), words whose counts each task holds.
 WORDS, CLASSES, HEAD, HEAD_BYTES = 1200, 64, 65_536, 40
 #: A task trains whenever it has so many tokens, and sends tail words once it holds so many entries.
-CHUNK, FLUSH = 1 << 18, 1_500_000
+CHUNK, FLUSH = 1 << 18, 800_000
 END = b"\n"  # no word holds it
 _models: dict[str, Model] = {}
 
@@ -49,20 +49,41 @@ def counts_of(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
 
-def symbols(texts: list[bytes], known: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts in a row, each with its end, and marks of first places."""
-    ids, starts = [], []
+class Head:
+    """What each task holds of the most frequent words: their place, and by place count and symbol (-1: of a class)."""
+
+    def __init__(self, counts: dict[bytes, int], number: dict[bytes, int]):
+        self.place = {w: i for i, w in enumerate(counts)}
+        self.count = np.array(list(counts.values()), np.int64)
+        self.symbol = np.array([number.get(w, WORDS + class_of(w)) for w in counts], np.int64)
+        self.own = np.array([w in number for w in counts], bool)
+        self.log = np.log10(self.count + 0.5)
+
+
+def placed(texts: list[bytes], head: Head) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
+    """Places of all texts' tokens in a row (-1: not in head), marks of first ones, and each text's other words."""
+    places: list[int] = []
+    lengths, others = [], []
+    get, end, never = head.place.get, head.place[END], itertools.repeat(-1)
     for x in texts:
-        own = [s if (s := known[w][1] if w in known else -1) >= 0 else WORDS + class_of(w) for w in lower_words(x)]
-        own.append(known[END][1])
-        starts.append(len(own))
-        ids += own
-    at = np.zeros(len(ids), bool)
-    at[np.cumsum([0, *starts[:-1]])] = True
-    return np.asarray(ids, np.int64), at
+        words = lower_words(x)
+        own = list(map(get, words, never))
+        others.append([w for w, i in zip(words, own, strict=True) if i < 0] if -1 in own else [])
+        own.append(end)
+        places += own
+        lengths.append(len(own))
+    starts = np.zeros(len(places), bool)
+    starts[np.cumsum([0, *lengths[:-1]])] = True
+    return np.asarray(places, np.int64), starts, others
+
+
+def symbols(places: np.ndarray, others: list[list[bytes]], head: Head) -> np.ndarray:
+    out = head.symbol[places]
+    out[places < 0] = [WORDS + class_of(w) for x in others for w in x]
+    return out
 
 
-def trained(docs: DataFrame, known, frequency: np.ndarray) -> dict[str, np.ndarray]:
+def trained(docs: DataFrame, held, frequency: np.ndarray) -> dict[str, np.ndarray]:
     """Weights after two rounds over disjoint parts of docs, an eighth and the rest, that is one pass over all.
 
     In a round each task trains on its documents from the round's first weights, and the weights of all
@@ -81,9 +102,9 @@ def trained(docs: DataFrame, known, frequency: np.ndarray) -> dict[str, np.ndarr
                 texts += (new := texts_of(batch))
                 size += sum(map(len, new))
             if texts and (batch is None or size > 6 * CHUNK):
-                ids, starts = symbols(texts, known.value)
-                model.train(ids, starts)
-                total += len(ids)
+                places, starts, others = placed(texts, held.value)
+                model.train(symbols(places, others, held.value), starts)
+                total += len(places)
                 texts, size = [], 0
         for k, (name, v) in enumerate(model.w.items()):
             if total:
@@ -129,18 +150,18 @@ def score(docs: DataFrame) -> DataFrame:
     own = [w for w, _ in head if w != END][: WORDS - 1]
     number = {w: i for i, w in enumerate([END, *own])}
     end = counts.where(F.col("word") == F.lit(END)).agg(F.max("n")).first()[0] or 0
-    known = {w: (c, number.get(w, -1)) for w, c in head} | {END: (end, 0)}
+    known = dict(head) | {END: end}
     per_class = {r["class"]: [r["n"], r["v"]] for r in counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     frequency = np.full(WORDS + CLASSES, 0.5)
     for w, i in number.items():
-        frequency[i] += known[w][0]
+        frequency[i] += known[w]
         c = per_class.get(class_of(w))
-        if c and known[w][0]:
-            c[0], c[1] = c[0] - known[w][0], c[1] - 1
+        if c and known[w]:
+            c[0], c[1] = c[0] - known[w], c[1] - 1
     of_class = np.array([per_class.get(k, (0, 0)) for k in range(CLASSES)], np.float64)
     frequency[WORDS:] += of_class[:, 0]
     rest = -np.log10(of_class[:, 0] + 0.5 * (of_class[:, 1] + 1))
-    held = spark.sparkContext.broadcast(known)
+    held = spark.sparkContext.broadcast(Head(known, number))
     weights = spark.sparkContext.broadcast(trained(learnt, held, frequency))
     version = xxhash.xxh3_64_hexdigest(b"".join(x.tobytes() for x in weights.value.values()))
     below = float(np.log10(n + 0.5 * (v + 1)))
@@ -153,7 +174,7 @@ def score(docs: DataFrame) -> DataFrame:
             _models.clear()
             _models[version] = Model(frequency)
             _models[version].w = weights.value
-        model, known = _models[version], held.value
+        model, head = _models[version], held.value
         gathered: dict[bytes, tuple] = {}
         entries = 0
 
@@ -167,26 +188,24 @@ def score(docs: DataFrame) -> DataFrame:
             ids, marks, own = [], [], []
             if batch is not None and batch.num_rows:
                 texts = texts_of(batch)
-                syms, starts = symbols(texts, known)
+                places, starts, others = placed(texts, head)
                 first = np.flatnonzero(starts)
+                lengths = np.diff(np.r_[first, len(places)])
+                syms = symbols(places, others, head)
                 log = model.log10(syms, starts)
-                tail = syms >= WORDS
-                log[tail] += rest[syms[tail] - WORDS]
-                sums = np.add.reduceat(log, first)
-                for doc_id, x, s, total, out_ in zip(batch.column(0).to_pylist(), texts, np.diff(np.r_[first, len(syms)]).tolist(), sums.tolist(), batch.column(2).to_pylist(), strict=True):
+                of_class = syms >= WORDS
+                log[of_class] += rest[syms[of_class] - WORDS]
+                inside = places >= 0
+                counted = np.where(inside, head.log[places], 0.0)
+                log[of_class] += counted[of_class]
+                base = np.add.reduceat(counted, first) - lengths * below
+                seen = np.add.reduceat((inside & (head.count[places] > 0)).astype(np.int64), first)
+                score = np.add.reduceat(log, first)
+                for k, (doc_id, x, out_) in enumerate(zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True)):
                     digest = xxhash.xxh3_64_intdigest(x)
                     key = doc_id if doc_id is not None else digest - (1 << 63)
                     mark = (digest & 0x7FFFFFFE) | (doc_id is None)
-                    seen, base = 0, -s * below
-                    for w, f in [*Counter(lower_words(x)).items(), (END, 1)]:
-                        got = known.get(w)
-                        if got is not None:
-                            logs = f * np.log10(got[0] + 0.5)
-                            base += logs
-                            seen += f * (got[0] > 0)
-                            if got[1] < 0:
-                                total += logs
-                            continue
+                    for w, f in Counter(others[k]).items():
                         got = gathered.get(w)
                         if got is None:
                             gathered[w] = ([key], [mark], [f])
@@ -194,7 +213,7 @@ def score(docs: DataFrame) -> DataFrame:
                             got[0].append(key), got[1].append(mark), got[2].append(f)
                         entries += 1
                     ids.append(key), marks.append(mark)
-                    own.append({"n_tokens": s, "n_known": seen, "base": float(base), "score": float(total), "held_out": out_})
+                    own.append({"n_tokens": int(lengths[k]), "n_known": int(seen[k]), "base": float(base[k]), "score": float(score[k]), "held_out": out_})
                 yield pa.RecordBatch.from_arrays([pa.array([b"\n%d" % (ids[0] % 4096)], pa.binary()), *[pa.array([c], f.type) for c, f in zip((ids, marks, [0] * len(ids), own), list(out)[1:], strict=True)]], schema=out)
             if entries and (batch is None or entries > FLUSH):
                 yield from rows()
