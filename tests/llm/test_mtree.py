@@ -28,7 +28,7 @@ def odd(spark):
 
 
 @pytest.mark.parametrize("kind", ["odd", "table", "empty"])
-@pytest.mark.parametrize("size", [(64, 16, 4096), (4, 3, 50)])
+@pytest.mark.parametrize("size", [(256, 16, 4096), (4, 3, 50)])
 def test_top_k(spark, sf, kind, size, monkeypatch):
     for name, v in zip(("PAGE", "FAN", "TREE"), size, strict=True):
         monkeypatch.setattr(mtree, name, v)
@@ -38,10 +38,11 @@ def test_top_k(spark, sf, kind, size, monkeypatch):
     assert got == brute([(r.vec_id, r.embedding) for r in v.collect()])
 
 
-def test_pages_spare_computations():
+def test_pages_spare_computations(monkeypatch):
     rng = np.random.default_rng(3)
     x = np.floor(1024 * (rng.normal(size=(40, 6))[rng.integers(40, size=4000)] + 0.02 * rng.normal(size=(4000, 6))))
     norm = float(np.sqrt((x**2).sum(1).max())) * (1 + 1e-9)
+    monkeypatch.setattr(mtree, "PAGE", 64)
     tree = mtree.build(np.arange(4000), x, norm)
     total = 0
     for i in range(0, 4000, 200):

@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import checked, lowest, stored, table
 
-#: Entries of a leaf page, children of an inner page, vectors of a tree, queries of a block, routing vectors.
-PAGE, FAN, TREE, BLOCK, ROUTES = 64, 16, 4096, 512, 1024
+#: Entries of a leaf page, children of an inner page, vectors of a tree, queries of a block; vectors, of all,
+#: that give queries their first bound, and of these at most so many as there are trees' worths, that part the others.
+PAGE, FAN, TREE, BLOCK, SAMPLE = 256, 16, 4096, 512, 1024
 #: Bounds are distances in floating point; they give way by this part of the largest norm.
 SLACK = 1e-6
 
@@ -48,12 +49,13 @@ def build(ids: np.ndarray, x: np.ndarray, norm: float) -> dict:
             own["from"], own["to"] = len(order), len(order) + len(rows)
             order.extend(rows)
             return at
-        routers = up[rng.choice(rows, FAN, replace=False)]
+        fan = min(FAN, max(2, -(-2 * len(rows) // PAGE)))
+        routers = up[rng.choice(rows, fan, replace=False)]
         near = ((up[rows] ** 2).sum(1)[:, None] - 2 * up[rows] @ routers.T + (routers**2).sum(1)).argmin(1)
-        parts = [rows[near == k] for k in range(FAN)]
+        parts = [rows[near == k] for k in range(fan)]
         parts = [p for p in parts if len(p)]
         if max(map(len, parts)) > 0.9 * len(rows):  # copies of one vector
-            parts = np.array_split(rows, FAN)
+            parts = np.array_split(rows, fan)
         children = [page(p, centre) for p in parts]
         own["children"] = np.array(children)
         own["centres"] = np.stack([pages[c]["centre"] for c in children])
@@ -95,8 +97,9 @@ def search(tree: dict, q: np.ndarray, own: int, k: int, norm: float, least: floa
             rows = a + np.flatnonzero(np.abs(d - tree["away"][a:b]) <= limit)
             scores = tree["x"][rows] @ q
             computed += len(rows)
-            for s, i in zip(scores.tolist(), tree["ids"][rows].tolist(), strict=True):
-                if i == own or s < least:
+            fit = scores >= max(least, best[0][0] if len(best) == k else -np.inf)
+            for s, i in zip(scores[fit].tolist(), tree["ids"][rows[fit]].tolist(), strict=True):
+                if i == own:
                     continue
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
@@ -115,11 +118,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query with all other vectors.
 
     Both inputs: vec_id, embedding. Components become floor(1024 * x). A vector is a candidate for queries of
-    its own length only. ROUTES vectors (a fixed number, lowest hashes) part the others by the nearest of
-    them; parts of more than TREE vectors are split by hash, so one very common vector fills many trees.
-    Each tree is one bounded row of pages; queries go to the trees in blocks of BLOCK. The scores against the
-    routing vectors, which are candidates themselves, give each query a bound to begin with, and what a tree
-    returns is ranked per query after a partial ranking. Ties go to the smaller vec_id. Results are exact.
+    its own length only. Of SAMPLE vectors (a fixed number, lowest hashes), one for each TREE vectors there are
+    parts the others by the nearest of them; parts of more than TREE vectors are split by hash, so one very
+    common vector fills many trees. Each tree is one bounded row of pages; queries go to the trees in blocks of
+    BLOCK. The scores against the sample, whose vectors are candidates themselves, give each query a bound to
+    begin with, and what a tree returns is ranked per query after a partial ranking. Ties go to the smaller
+    vec_id. Results are exact.
 
     Left out: null vec_id; vectors null, empty, or holding a null or non-finite component. A query's own
     vec_id is never its result; equal rows of another vec_id each take a rank; equal queries count once.
@@ -132,7 +136,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.pow(F.floor(x * 1024).cast("double"), 2))
     most, n = kept.agg(F.max(square), F.count("*")).first()
     norm = float(np.sqrt(most or 0.0)) * (1 + 1e-9)
-    routes = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(ROUTES, max(2 * k, n // 1024))).collect()
+    routes = lowest(kept, SAMPLE, n, "vec_id").collect()
+    parts = max(1, n // TREE)
     by_size: dict[int, tuple[list, list]] = {}
     for r in routes:
         ids, xs = by_size.setdefault(len(r.embedding), ([], []))
@@ -145,12 +150,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             for v in batch.column(1).to_pylist():
                 x = scaled([v])[0]
                 near = held.value.get(len(x))
-                out.append(-1 if near is None else int((((near[1] - x) ** 2).sum(1)).argmin()))
+                out.append(-1 if near is None else int((((near[1][:parts] - x) ** 2).sum(1)).argmin()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(v) for v in batch.column(1).to_pylist()], pa.int32()), pa.array(out, pa.int32())], ["vec_id", "embedding", "dims", "part"])
 
     parted = stored(kept.mapInArrow(part, "vec_id long, embedding array<double>, dims int, part int"), "parted")
     salts = parted.groupBy("dims", "part").agg(F.ceil(F.count("*") / TREE).alias("salts"))
-    parted = parted.join(F.broadcast(salts), ["dims", "part"]) if len(routes) <= ROUTES else parted
+    parted = parted.join(checked(stored(salts, "salts")), ["dims", "part"])
     parted = parted.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.hash("embedding")), F.col("salts")))
 
     def grow(key, frame: pd.DataFrame) -> pd.DataFrame:
