@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import partitions, stored, table, texts_of
 
 #: Distinct words whose ids a worker remembers, and the longest such word in bytes.
-REMEMBER, REMEMBER_BYTES = 800_000, 64
+REMEMBER, REMEMBER_BYTES = 600_000, 64
 _known: dict[bytes, bytes] = {}
 _MARKS = b".,;:!?%$*&#"
 
