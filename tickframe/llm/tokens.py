@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts_of
+from .common import frequent, stored, table, texts_of
 
 #: Frequent pre-tokens whose counts each task holds: a fixed number of short strings, some 4 MB.
 HEAD, HEAD_BYTES = 65_536, 40
@@ -86,8 +86,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """
     spark = docs.sparkSession
     vocabulary = stored(counted(frequencies(docs), path), "vocabulary")
-    short = vocabulary.where(F.octet_length("piece") <= HEAD_BYTES)
-    head = spark.sparkContext.broadcast({r.piece: r.k for r in short.orderBy(F.desc("n"), "piece").limit(HEAD).collect()})
+    head = spark.sparkContext.broadcast({r.piece: r.k for r in frequent(vocabulary, "piece", HEAD, HEAD_BYTES)})
     out = pa.schema([("piece", pa.string()), ("ids", pa.list_(pa.int64())), ("marks", pa.list_(pa.int32())), ("fs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
     def run(batches):
