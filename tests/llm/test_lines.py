@@ -75,6 +75,15 @@ def test_dedup(spark, sf, kind, held, monkeypatch):
         assert sum(r.n_dropped for r in got) > 50
 
 
+def test_short_lines_go_as_copies(spark):
+    """Lines of one to four words, and lines of a script without blanks, go wherever an equal one came before."""
+    chinese = "版权所有未经许可不得转载本网站的任何内容"
+    texts = ["All rights reserved.\n\nok\n" + chinese, "first\nall  RIGHTS reserved.\n \n" + chinese, "OK\nfour words are here", "four words are here\nall rights\n\nfirst"]
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = [(0, texts[0], 4, 0), (1, "first\n ", 4, 2), (2, "four words are here", 2, 1), (3, "all rights\n", 4, 2)]
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == want
+
+
 def test_one_edit():
     rng = random.Random(1)
     for _ in range(3000):

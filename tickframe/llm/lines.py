@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from .common import checked, lower_words, mixed, stored, table, texts_of, word_hashes
 
-#: Lines of fewer words always stay; lines of fewer than NEAR words only go as exact copies.
-LEAST, NEAR = 5, 10
+#: Every line with a word goes as an exact copy; from NEAR words on also within one word of an earlier one.
+LEAST, NEAR = 1, 10
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -167,9 +167,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with all columns, text without its repeated lines; and n_lines, n_dropped as the last two columns.
 
     Lines run over all documents in the order of doc_id and place in the text. Words are compared with A-Z in
-    lower case and white space as one blank. A line of LEAST words or more goes where an equal one came
-    before; one of NEAR words or more also where one came before that an edit of one word makes equal,
-    whether that one stays or not. Shorter lines, and blank ones, stay.
+    lower case and white space as one blank. A line with a word, however short, goes where an equal one came
+    before; one of NEAR words or more also where another of NEAR words or more came before that an edit of
+    one word makes equal, whether that one stays or not. Blank lines stay.
 
     All lines are first reduced to their distinct ones (earliest per digest). Only lines that share half with
     another (see halves, which loses no pair) emit their deletion variants, which join as hashed keys, and
