@@ -2,6 +2,7 @@
 
 import json
 import math
+import pathlib
 
 import pandas as pd
 import pytest
@@ -17,9 +18,10 @@ from tickframe.metrics import Registry
 from tickframe.operators import aggregate as A
 from tickframe.operators import points as P
 from tickframe.operators import series as S
+from tickframe.plans import catalog
 from tickframe.sources import requests, wal
 from tickframe.streaming import ingest as stream_ingest
-from tickframe.streaming.late import judged, late_rule
+from tickframe.streaming.late import judge, judged, late_rule
 
 s = T.SECOND
 POINTS = "series_id long, ts_ns long, value double, seq long"
@@ -134,6 +136,29 @@ def test_late_rule_of_a_stream_equals_the_batch(spark):
     assert {(r.seq, r.accepted) for r in spark.table("late_test").collect()} == {(k, ok) for k, (_, ok) in enumerate(X8)}
 
 
+def test_late_rule_of_micro_batches_run_again(spark):
+    """The last micro-batch, run again after a failure before its commit, leaves the same rows and floor."""
+    folder = session.work_dir(spark, "test-judge")
+    rows = points(spark, [(t, 0) for t, _ in X8])
+    for k in range(4):
+        rows.where(f"seq div 2 = {k}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(POINTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for again in (False, True):
+        if again:
+            path = pathlib.Path(f"{folder}/c/commits".removeprefix("file://"))
+            (path / "3").unlink(), (path / ".3.crc").unlink(missing_ok=True)
+        judge(stream, f"{folder}/out", f"{folder}/c", 100, 100).awaitTermination()
+        assert sorted((r.seq, r.accepted) for r in spark.read.parquet(f"{folder}/out").collect()) == [(k, ok) for k, (_, ok) in enumerate(X8)]
+        assert [spark.read.parquet(f"{folder}/c/floors/{b}").first().floor for b in range(4)] == [100, 200, 200, 200]
+
+
+def test_late_query_cuts_micro_batches_in_ranges(spark, sf, monkeypatch):
+    seen, floors = [], P.floors
+    monkeypatch.setattr(P, "floors", lambda points, *more: seen.append(points.count()) or floors(points, *more))
+    total = catalog.QUERIES["late_accept_stream"](spark, sf).count()
+    assert len(seen) == 4 and sum(seen) == total and max(seen) < total / 2
+
+
 def test_last_write_wins(spark):
     p = points(spark, [(s, 10), (s, 11)])
     assert [r.value for r in P.last_write_wins(p).collect()] == [11]

@@ -5,7 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..functions.timeutil import bucket
+from ..operators import points as P
 
 OUT = "series_id long, ts_ns long, value double, seq long, accepted boolean"
 
@@ -51,3 +54,23 @@ def late_rule(points: DataFrame, window: int, first_floor: int, group: str | Non
     """
     key = F.lit(0) if group is None else F.col(group)
     return points.withColumn("_group", key).groupBy("_group").transformWithStateInPandas(LateRule(window, first_floor), OUT, "append", "None")
+
+
+def judge(stream: DataFrame, folder: str, checkpoint: str, window: int, first_floor: int) -> StreamingQuery:
+    """The global rule over what stream has now: its points with accepted, as Parquet in folder, by micro-batch.
+
+    Micro-batches follow one another in seq order. Inside one, floors() takes the running maximum in two steps, so
+    no task sees a whole micro-batch; only the newest floor, one number, goes on to the next. It is kept by batch id
+    in the checkpoint folder and each batch's rows replace those of its own id, so a batch run again agrees.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark, floor = batch.sparkSession, first_floor
+        if batch_id:
+            floor = spark.read.schema("floor long").parquet(f"{checkpoint}/floors/{batch_id - 1}").first().floor
+        out = P.floors(batch, window, floor).withColumn("accepted", P.on_time())
+        out.select("series_id", "ts_ns", "value", "seq", "accepted").write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        newest = batch.agg(F.greatest(bucket(F.max("ts_ns"), window), F.lit(floor)).alias("floor"))
+        newest.write.mode("overwrite").parquet(f"{checkpoint}/floors/{batch_id}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
