@@ -62,3 +62,22 @@ def test_normalised_and_learns():
     m.table = None
     total = sum(10 ** m.log10(np.array([3, 4, w]), np.array([True, False, False]))[2] for w in range(20))
     assert abs(total - 1) < 1e-4
+
+
+def test_noise_draws_and_updates_per_token():
+    """Every 1024 training tokens have an update and 64 noise draws of their own at least."""
+    n = 10_240
+    ids = np.random.default_rng(0).integers(0, 50, n)
+    m = lbl.Model(np.bincount(ids, minlength=50).astype(float))
+    drawn, rng = [], m.rng
+
+    class Counting:
+        permutation = staticmethod(rng.permutation)
+
+        def random(self, size):
+            drawn.append(size)
+            return rng.random(size)
+
+    m.rng = Counting()
+    m.train(ids, np.arange(n) % 100 == 0)
+    assert len(drawn) >= n // 1024 and sum(drawn) >= 64 * n // 1024
