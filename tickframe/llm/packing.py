@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import itertools
+import re
 import zlib
 
 import numpy as np
@@ -12,17 +14,24 @@ from pyspark.sql import functions as F
 
 from .common import partitions, stored, table, texts_of
 
-#: Distinct words whose ids a worker remembers, and the longest such word in bytes.
-REMEMBER, REMEMBER_BYTES = 600_000, 64
-_known: dict[bytes, bytes] = {}
-_MARKS = b".,;:!?%$*&#"
+#: Distinct words whose ids a worker remembers in each of two generations, some 200 bytes each, and the longest such word in bytes.
+REMEMBER, REMEMBER_BYTES = 200_000, 64
+#: What the library is given as one text: so many words of letters, apart by a space.
+JOINED = 4000
+#: Bytes of text, or one longer text, that are cut into words at a time.
+SLICE = 1 << 19
+#: Between a letter and a mark that cannot join it a space changes no token, and most words are then known without marks.
+_MARK = re.compile(rb"[.,;:!?%$*&#)\]\"](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
+_LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0400-\u045f]+")
 
 
 def encoder(path: str):
     """texts (UTF-8) to the bytes of their ids (little-endian uint32), the same as the library's.
 
-    For a tokenizer that drops white space, no token spans it: a text's ids are its words' ids in a row,
-    so the library encodes each distinct word once while it is remembered, and marks that end words apart.
+    For a tokenizer that drops white space, no token spans it: a text's ids are its words' ids in a row, so the
+    library encodes each distinct word once while it is remembered. Words of letters alone are given to it many
+    at a time: of such a word's tokens only the last ends a word, which shows where each word's ids end. What is
+    remembered belongs to one task; words that were not met while a whole generation filled up are forgotten.
     """
     import os
 
@@ -30,31 +39,61 @@ def encoder(path: str):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
+    ends = np.zeros(library.get_vocab_size(), bool)
+    ends[[i for token, i in library.get_vocab().items() if token.endswith("</w>")]] = True
+    known: dict[bytes, bytes] = {}
+    older: dict[bytes, bytes] = {}
+
+    def each(words: list[bytes]) -> dict[bytes, bytes]:
+        return {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(words, library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True)}
+
+    def together(words: list[bytes]) -> dict[bytes, bytes]:
+        ids = np.asarray(library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        cut = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(cut) != len(words) or cut[-1] != 4 * len(ids):
+            return each(words)
+        ids = ids.tobytes()
+        return {w: ids[i:j] for w, i, j in zip(words, [0, *cut], cut, strict=False)}
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        if len(_known) > REMEMBER:
-            _known.clear()
+        nonlocal known, older
+        if len(known) > REMEMBER:
+            known, older = {}, known
         # the tokenizer lower-cases all but its special strings
-        words = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        new = [w for w in set().union(*words) if w not in _known]
-        # a mark after a letter begins a token of its own: most such words are known without the mark
-        ended = {w: len(h) for w in new if w[-1] in _MARKS and b"<|" not in w and (h := w.rstrip(_MARKS)) and 97 <= h[-1] <= 122}
-        parts = {x for w, k in ended.items() for x in (w[:k], w[k:])}
-        whole = [w for w in parts.union(w for w in new if w not in ended) if w not in _known]
-        for i in range(0, len(whole), 5000):
-            part = whole[i : i + 5000]
-            ids = library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            _known.update(zip(part, (np.asarray(e.ids, "<u4").tobytes() for e in ids), strict=True))
-        _known.update((w, _known[w[:k]] + _known[w[k:]]) for w, k in ended.items())
-        out = [b"".join(map(_known.__getitem__, w)) for w in words]
-        for w in (*new, *parts):
-            if len(w) > REMEMBER_BYTES:
-                _known.pop(w, None)
+        words = [(x if b"<|" in x else _MARK.sub(rb" \g<0>", x.lower())).split() for x in texts]
+        new = []
+        for w in set().union(*words):
+            if w not in known:
+                if (ids := older.get(w)) is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
+        letters, others = [], []
+        for w in new:
+            (letters if _LETTERS.fullmatch(w.decode()) else others).append(w)
+        for i in range(0, len(letters), JOINED):
+            known.update(together(letters[i : i + JOINED]))
+        known.update(each(others))
+        out = [b"".join(map(known.__getitem__, w)) for w in words]
+        for w in [w for w in new if len(w) > REMEMBER_BYTES]:
+            known.pop(w, None)
         return out
 
     return encode
 
 
+def encoded(texts: list[bytes], encode):
+    """The ids of each text, in slices of some SLICE bytes of text at a time."""
+    size, part = 0, []
+    for x in itertools.chain(texts, [None]):
+        if part and (x is None or size + len(x) > SLICE):
+            yield from encode(part)
+            size, part = 0, []
+        if x is not None:
+            part.append(x)
+            size += len(x)
+
+
 def pieces(docs: DataFrame, path: str, size: int, end: int, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document's ids and one end id, cut every size tokens."""
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
@@ -64,9 +103,8 @@ def pieces(docs: DataFrame, path: str, size: int, end: int, with_ids: bool = Fal
         encode = encoder(path)
         for batch in batches:
             at, cols = [], [[] for _ in fields]
-            for i, x in enumerate(texts := texts_of(batch)):
-                ids = encode(texts[i : i + 64]) if i % 64 == 0 else ids
-                own = ids[i % 64] + last
+            for i, ids in enumerate(encoded(texts_of(batch), encode)):
+                own = ids + last
                 for k, j in enumerate(range(0, len(own), 4 * size)):
                     part = own[j : j + 4 * size]
                     at.append(i)
