@@ -116,11 +116,23 @@ def test_pre_tokens_equal_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    pattern = tokens._pattern()
+    pattern = tokens.Pattern()
     texts = [
         "Don't!! we'll SAY 'so',  it's\n\n 12,5 %\t-- ok...   ", "x<|endoftext|>Y <|endoftext|>  z<|ENDOFTEXT|>", "a　b  c\x1c d\x00,e f\u0085g",
-        "\U0001f600! 日本語。テスト,x é ²½Ⅷ ٣", "word.word,word;...\r\n\r\n  !a? $5", "", "  \n\t ", " a", "a ", "'s 's''s",
+        "\U0001f600! 日本語。テスト,x é ²½Ⅷ ٣", "word.word,word;...\r\n\r\n  !a? $5", "", "  \n\t ", " a", "a ", "'s 's''s", "\u201cso\u201d \u2014 \u2026 \u00aa\u00b5\u00ba\u00d7\u00f7\u00b2\u00bd\u00a0\u0085 \u00e9t\u00e9",
+        "".join(map(chr, range(1, 256))), " ".join(map(chr, range(1, 256))), "".join(f" {chr(i)}{chr(i)}a" for i in range(0x2010, 0x203F)),
     ]
     for x in texts:
         want = len(library.encode(x, add_special_tokens=False).ids)
         assert sum(len(library.encode(p, add_special_tokens=False).ids) for p in tokens.pieces_of(x, pattern)) == want, x
+
+
+def test_counts_in_a_row_equal_single_ones():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    words = [" the", " \u00e9t\u00e9", " A", " \u00aa", "the", " 12", ".", " ", "\n", "<|endoftext|>", " \u65e5\u672c", " xq" * 1, " " + "ab" * 4000]
+    assert tokens.counter(path)(words).tolist() == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    assert tokens.counter(path)([]).tolist() == []

@@ -14,10 +14,28 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch at most: texts may be very long.
+ROWS = 512
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, after its session's Arrow batches have been brought down to ROWS rows where they are larger."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS:
+        conf.set(name, str(ROWS))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table, with Arrow batches kept small enough for very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like name that docs doesn't have, in any case."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -110,18 +128,18 @@ def lowest(rows: DataFrame, limit: int, total: int, *columns: str) -> DataFrame:
 
 
 def frequent(counts: DataFrame, key: str, limit: int, max_bytes: int) -> list:
-    """Rows of counts (key, n, ...) with the largest n and a key of max_bytes at most; never more than limit.
+    """Rows of counts (key, n, ...) with the largest n: never more than limit, nor than max_bytes of keys in all.
 
     A histogram of n by logarithm (a fixed number of bins) gives the least n that fits, so tasks send no
     candidates of their own; rows of equal n are in or out together, bar the resolution of a bin.
     """
-    short = counts.where(F.octet_length(key) <= max_bytes).withColumn("_bin", F.floor(F.log2(F.col("n").cast("double")) * 32))
-    left, least = limit, None
-    for r in sorted(short.groupBy("_bin").agg(F.count("*").alias("c")).collect(), key=lambda r: -r["_bin"]):
-        if r["c"] > left:
+    binned = counts.withColumn("_bin", F.floor(F.log2(F.col("n").cast("double")) * 32))
+    left, room, least = limit, max_bytes, None
+    for r in sorted(binned.groupBy("_bin").agg(F.count("*").alias("c"), F.sum(F.octet_length(key)).alias("size")).collect(), key=lambda r: -r["_bin"]):
+        if r["c"] > left or r["size"] > room:
             break
-        left, least = left - r["c"], r["_bin"]
-    return [] if least is None else short.where(F.col("_bin") >= least).drop("_bin").collect()
+        left, room, least = left - r["c"], room - r["size"], r["_bin"]
+    return [] if least is None else binned.where(F.col("_bin") >= least).drop("_bin").collect()
 
 
 #: A task joins components over so many edges at most.

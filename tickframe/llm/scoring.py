@@ -12,11 +12,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frequent, lower_words, stored, table, texts_of
+from .common import bounded, frequent, lower_words, stored, table, texts_of
 from .lbl import DIM, Model
 
-#: Words with a symbol of their own, classes of all others (by their last bytes), words whose counts each task holds.
-WORDS, CLASSES, HEAD, HEAD_BYTES = 1200, 64, 65_536, 40
+#: Words with a symbol of their own, classes of all others (by their last bytes), words whose counts each task holds,
+#: and their bytes in all.
+WORDS, CLASSES, HEAD, HEAD_BYTES = 1200, 64, 65_536, 4 << 20
 #: A task trains whenever it has so many tokens, and sends tail words once it holds so many entries.
 CHUNK, FLUSH = 1 << 18, 800_000
 END = b"\n"  # no word holds it
@@ -134,7 +135,7 @@ def score(docs: DataFrame) -> DataFrame:
     The model's symbols are the WORDS most frequent words and CLASSES classes of the others, told apart by
     their last bytes. score is the sum of log10 P(symbol | the two before) and, for a word of a class,
     log10 of (c + 0.5) / (the class's tokens + 0.5 (its words + 1)): as in the base, all unseen words of a
-    class share one place, so probabilities sum to one. Counts of the HEAD most frequent short words are in
+    class share one place, so probabilities sum to one. Counts of the HEAD most frequent words are in
     every task; the others join by word, a task's documents per word in one row.
 
     Null text counts as empty: one token, the end. A null doc_id counts as an empty id. Rows are known by id
@@ -142,7 +143,7 @@ def score(docs: DataFrame) -> DataFrame:
     the base is 0 per token. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
     learnt = docs.where(~F.col("held_out"))
     counts = stored(counts_of(learnt), "counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
