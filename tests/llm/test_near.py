@@ -105,3 +105,30 @@ def test_matches_its_sql(spark, sf):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
     assert rows(near.op3_near_duplicates(spark, sf)) == sorted(con.sql(near.OP3_SQL).fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("closest", [(4, 64, 2048), (1, 2048)])
+def test_held_back_candidates_come_later(spark, monkeypatch, closest):
+    """Sets whose closest candidates fail on full sets are held against the others in later rounds."""
+    monkeypatch.setattr(near, "CLOSEST", closest)
+    monkeypatch.setattr(near, "APART", -1)  # no links before the outsiders are compared
+    monkeypatch.setattr(near, "SMALL", 2)
+    rng = random.Random(8)
+    word = [f"w{i}" for i in range(400)]
+    base = [rng.choice(word) for _ in range(150)]
+    out = []
+    for k in range(60):
+        own = list(base)
+        for _ in range(rng.randrange(1, 22)):
+            own[rng.randrange(len(own))] = rng.choice(word)
+        out.append((k, " ".join(own)))
+    docs = spark.createDataFrame(out, "doc_id long, text string")
+    assert rows(near.near_duplicates(docs, 2)) == brute(docs.collect(), 2, 80)
+
+
+def test_one_of_each_keeps_other_texts_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "a text of its own", 1), (1, "and something else here", 2), (1, "a text of its own", 3), (2, "a text of its own", 4), (None, "x", 5), (None, "x", 6)], "doc_id long, text string, rank int")
+    for _ in range(2):
+        got = rows(near.one_of_each(docs, 2))
+        assert [r[:2] for r in got] == [(1, "a text of its own"), (1, "and something else here"), (None, "x"), (None, "x")]
+    assert near.one_of_each(docs, 2).columns == docs.columns and rows(near.one_of_each(docs, 2)) == got

@@ -6,10 +6,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, lower_words, mixed, shingles, stored, table, texts_of
+from .common import bounded, components, lower_words, mixed, shingles, stored, table, texts_of, unused
 
 #: Minwise values a set has; the branching of a tree is drawn from them.
 WIDTH = 128
@@ -17,14 +17,18 @@ WIDTH = 128
 #: 1 in 4, two: 1.25 = 1 / 0.8 on average, so paths neither die out nor multiply at a similarity of 0.8. A pair at
 #: 0.8 stays together in one tree at a rate of 0.64 to this depth, and in none of 12 trees at 5 in a million.
 TREES, DEPTH, SECOND = 12, 3, 0.25
-#: Nodes of so many sets at most are compared pair by pair at once. In others stars join what is close; then sets
-#: outside a node's main component, if they are so many at most, are compared with the node; nodes with more
-#: branch on, up to so many more levels.
+#: Nodes of so many sets at most are compared pair by pair at once. In larger ones stars join what is close; nodes
+#: that still have more than so many sets outside their main component branch on, up to so many more levels; then
+#: the sets outside are compared with their node. Dense groups keep together for many levels, in ever more nodes, so
+#: a lower OUTSIDE costs rows and finds the same: at 48, 2.1 million labelled rows on a table where 1024 has 0.14 million.
 SMALL, OUTSIDE, MORE = 48, 1024, 4
 #: Bits of an odd sketch: whether an odd number of a set's members fall on each.
 BITS = 1024
 #: Sets of a block, on the side outside a main component and on that of the node.
-BLOCK_X, BLOCK_Y = 1024, 8192
+BLOCK_X, BLOCK_Y = 512, 2048
+#: A set outside is first held against so many of the closest sets of each other component in a block; where none of
+#: them is a link, against so many more, and at last against all.
+CLOSEST = (4, 64, BLOCK_Y)
 #: Of the 128 pairs of 2-bit values of two sketches, a pair at 0.8 differs in 19.2 on average, with a deviation of
 #: 4.04: the bound lies five deviations off.
 APART = 40
@@ -59,7 +63,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 d1.append(int(a)), d2.append(int(b)), sig.append(_minwise(own, salts, odds).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def children(leaf: int, level: int) -> list[tuple[int, int]]:
@@ -77,8 +81,9 @@ def first_nodes() -> list[tuple[int, list[int]]]:
 
 
 def branched(reps: DataFrame, level: int | None = None) -> DataFrame:
-    """key, leaf, rep, sketch: each set's nodes at DEPTH; or, given rows with key and leaf, their children at level."""
-    names = ["key", "leaf", "rep", *_SKETCH]
+    """key, leaf, rep, sketch: each set's nodes at DEPTH; or, given rows with key, leaf and label, their children at level, with label."""
+    more = [] if level is None else ["label"]
+    names = ["key", "leaf", "rep", *_SKETCH, *more]
 
     def run(batches):
         shift = (2 * np.arange(32)).astype(np.uint64)
@@ -91,7 +96,7 @@ def branched(reps: DataFrame, level: int | None = None) -> DataFrame:
             v = sig.astype(np.uint64)
 
             def out(at, key, leaf):
-                return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(leaf, pa.int64()), rep.take(pa.array(at)), *[pa.array(two[at, j]) for j in range(4)]], names)
+                return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(leaf, pa.int64()), rep.take(pa.array(at)), *[pa.array(two[at, j]) for j in range(4)], *[batch.column(4).take(pa.array(at)) for _ in more]], names)
 
             with np.errstate(over="ignore"):
                 if level is None:
@@ -109,7 +114,7 @@ def branched(reps: DataFrame, level: int | None = None) -> DataFrame:
                             key = mixed(keys[at].view(np.uint64) * np.uint64(31) + v[at, c] + np.uint64(1 + child % 2))
                             yield out(at, key, np.full(len(at), child))
 
-    return reps.mapInArrow(run, "key long, leaf long, rep long, s0 long, s1 long, s2 long, s3 long")
+    return reps.mapInArrow(run, "key long, leaf long, rep long, s0 long, s1 long, s2 long, s3 long" + ", label long" * len(more))
 
 
 def alike() -> Column:
@@ -137,23 +142,32 @@ def odd_sketch(members: np.ndarray) -> tuple[int, list[int], list[bytes]]:
     return level, counts, sketches
 
 
-def close_enough(x: pd.Series, y: pd.DataFrame, sketches: dict[str, np.ndarray], percent: int) -> np.ndarray:
-    """For which rows of y the odd sketches allow a similarity of percent with x.
+def close_enough(x: pd.Series, y: pd.DataFrame, sketches: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of y whose odd sketches allow a similarity of percent with x, and for them the share in which they differ.
 
     Sketches differ in one bit at most for each member that only one of the sets has, and those are at most
     (100 - percent) / (100 + percent) of both sizes: without sampling no pair is lost, and with it the bound
     leaves room for five deviations of the sample.
     """
-    out = np.zeros(len(y), bool)
+    rows, shares = [], []
     for step, own, other in ((0, "o", "o"), (1, "o", "p"), (-1, "p", "o")):
         at = np.flatnonzero(y["level"].to_numpy() == x["level"] - step)
         if not len(at):
             continue
         differ = np.bitwise_count(sketches[other][at] ^ np.frombuffer(x[own], np.uint64)).sum(1, dtype=np.int64)
-        most = (x["c0" if own == "o" else "c1"] + y["c0" if other == "o" else "c1"].to_numpy()[at]) * ((100 - percent) / (100 + percent))
-        sampled = step != 0 or x["level"] > 0
-        out[at] = differ <= most + (5 * np.sqrt(most) if sampled else 0)
-    return out
+        both = x["c0" if own == "o" else "c1"] + y["c0" if other == "o" else "c1"].to_numpy()[at]
+        most = both * ((100 - percent) / (100 + percent))
+        ok = differ <= most + (5 * np.sqrt(most) if step != 0 or x["level"] > 0 else 0)
+        rows.append(at[ok]), shares.append(differ[ok] / np.maximum(both[ok], 1))
+    return (np.concatenate(rows), np.concatenate(shares)) if rows else (np.empty(0, np.int64), np.empty(0))
+
+
+def firsts(groups: np.ndarray, by: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the most lowest values of by in each group."""
+    order = np.lexsort((by, groups))
+    start = np.r_[True, groups[order][1:] != groups[order][:-1]]
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+    return order[rank < most]
 
 
 def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -206,6 +220,7 @@ def labelled(rows: DataFrame, of: DataFrame) -> DataFrame:
 
 def mixed_nodes(rows: DataFrame) -> DataFrame:
     """The labelled rows of nodes with several labels, with main, the most frequent, outside, the number of others, and n, that of all."""
+    rows = stored(rows, "labelled")  # read twice
     each = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
     size = each.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n")).where("top.c < n")
     return stored(rows.join(size.select("key", F.col("top.label").alias("main"), (F.col("n") - F.col("top.c")).alias("outside"), "n"), "key"), "mixed")
@@ -227,30 +242,45 @@ def stars(rows: DataFrame) -> DataFrame:
     return _pairs(rows, one, F.col("x.label") != F.col("y.label"))
 
 
-def outsiders(mixed_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different labels, each set outside the main component against its whole node, by odd sketches.
+def outsiders(mixed_: DataFrame, sets: DataFrame, percent: int, most: int, tried: DataFrame | None) -> DataFrame:
+    """key, x, y, more: each set outside its node's main component with the sets of other labels that odd sketches allow.
 
-    Both sides are cut in blocks by hash, and a block of one meets a block of the other in one group, which is
-    bounded whatever the size of the node.
+    Of each label in a block the most closest come, without pairs that were tried before, so what comes out
+    follows the sets and not their pairs; more tells whether some were held back. Given what was tried, only the
+    sets that had more in their node come again. Both sides are cut in blocks by hash, and a block of one meets a block of
+    the other in one group, which is bounded whatever the size of the node.
     """
+    left = None if tried is None else tried.where("more").select("key", F.col("x").alias("rep")).distinct()
     rows = mixed_.drop("leaf", *_SKETCH).join(sets.drop("members").withColumnRenamed("doc_id", "rep"), "rep")
     rows = rows.withColumn("xs", F.ceil(F.col("outside") / BLOCK_X)).withColumn("ys", F.ceil(F.col("n") / BLOCK_Y))
-    x = rows.where("label <> main").withColumn("side", F.lit(0)).withColumn("xb", F.pmod(F.xxhash64("rep"), "xs")).withColumn("yb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)))
-    y = rows.withColumn("side", F.lit(1)).withColumn("xb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1))).withColumn("yb", F.pmod(F.xxhash64("rep"), "ys"))
+    zero = F.lit(0).cast("long")
+    x = rows.where("label <> main").withColumn("side", F.lit(0)).withColumn("xb", F.pmod(F.xxhash64("rep"), "xs"))
+    if tried is not None:
+        x = x.join(left, ["key", "rep"], "left_semi")
+        x = x.join(tried.select(F.col("x").alias("rep"), "y").distinct().groupBy("rep").agg(F.collect_list("y").alias("tried")), "rep", "left")
+    x = x.withColumn("yb", F.explode(F.sequence(zero, F.col("ys") - 1)))
+    y = rows.withColumn("side", F.lit(1)).withColumn("xb", F.explode(F.sequence(zero, F.col("xs") - 1))).withColumn("yb", F.pmod(F.xxhash64("rep"), "ys"))
+
+    again = tried is not None
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame[frame["side"] == 0], frame[frame["side"] == 1]
         sketches = {c: np.frombuffer(b"".join(y[c]), np.uint64).reshape(len(y), -1) for c in "op"}
         rep, label = y["rep"].to_numpy(), y["label"].to_numpy()
         inside = label == y["main"].to_numpy()
-        out = []
+        out = [np.empty((0, 4), np.int64)]
+        key = frame["key"].iloc[0]
         for _, row in x.iterrows():
-            ok = (label != row["label"]) & (inside | (rep > row["rep"]))
-            ok &= close_enough(row, y, sketches, percent)
-            out.append(np.stack([np.minimum(rep[ok], row["rep"]), np.maximum(rep[ok], row["rep"])], 1))
-        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), np.int64), columns=["a", "b"])
+            at, share = close_enough(row, y, sketches, percent)
+            ok = (label[at] != row["label"]) & (inside[at] | (rep[at] > row["rep"]))
+            if again and row["tried"] is not None:
+                ok &= ~np.isin(rep[at], row["tried"])
+            first = at[ok][firsts(label[at[ok]], share[ok], most)]
+            out.append(np.stack([np.full(len(first), key), np.full(len(first), row["rep"]), rep[first], np.full(len(first), len(first) < ok.sum())], 1))
+        return pd.DataFrame(np.concatenate(out), columns=["key", "x", "y", "more"]).astype({"more": bool})
 
-    return x.unionByName(y).groupBy("key", "xb", "yb").applyInPandas(compare, "a long, b long").distinct()
+    both = x.unionByName(y, allowMissingColumns=True)
+    return both.groupBy("key", "xb", "yb").applyInPandas(compare, "key long, x long, y long, more boolean")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -260,10 +290,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     similarity of percent / 100 or more are linked. Equal sets are one class first, known by its smallest
     doc_id. Classes then walk TREES chosen-path trees; a node's sets share the minwise values on its path.
     Small nodes are compared pair by pair, by sketch, and what passes on full sets. In a larger node each set
-    meets one set of that node, another in each tree. Where that leaves sets of several components, those
-    outside the node's main one are compared with all of it, by sketches and then on full sets, or the node
-    branches on if they are many; nodes of one component end. What is still many at the last level is compared
-    all the same. So work follows links and not the square of a group.
+    meets one set of that node, another in each tree. Nodes of one component end; those where many sets are
+    outside the main one branch on. Of the nodes that are left, the sets outside are compared with their node, by
+    sketches and then on full sets: first with the closest of each other component, then with more, until no pair
+    that sketches allow is left untried between different components. So what is sent follows the sets and their
+    links, not the square of a group, and nothing is left out.
 
     Null or empty text, or one without a word: an empty set, linked with nothing, component_id its own doc_id.
     Null doc_id: takes no part; component_id is null, kept true. Rows with equal doc_id are one node: their
@@ -287,21 +318,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = sets_of(ids, docs, k)
     links = linked(pairs, members, percent, links)
     of = components(links)
+    ended = None
     while not (mixed_ := mixed_nodes(labelled(large, of))).isEmpty():
         ends = (F.col("outside") <= OUTSIDE) | F.lit(level >= DEPTH + MORE)
-        pairs = outsiders(mixed_.where(ends), members, percent)
-        huge = mixed_.where(~ends).select("rep", "key", "leaf")
-        onward = not huge.isEmpty()
-        if onward:
-            large = stored(branched(huge.join(reps, "rep").select("rep", "sig", "key", "leaf"), level), "nodes")
-            pairs = pairs.union(stars(labelled(large, of)))
-        pairs = stored(pairs, "pairs")
+        now = mixed_.where(ends).select("key", "leaf", "rep", *_SKETCH)
+        ended = now if ended is None else ended.union(now)
+        onward = mixed_.where(~ends).select("rep", "key", "leaf", "label")
+        if onward.isEmpty():
+            break
+        large = stored(branched(onward.join(reps, "rep").select("rep", "sig", "key", "leaf", "label"), level), "nodes")
+        pairs = stored(stars(large), "pairs")
+        large = large.drop("label")
         if not pairs.isEmpty():
             links = linked(pairs, members, percent, links)
             of = components(links)
-        if not onward:
-            break
         level += 1
+    tried = None
+    for most in CLOSEST if ended is not None else ():
+        if (mixed_ := mixed_nodes(labelled(ended, of))).isEmpty():
+            break
+        pairs = stored(outsiders(mixed_, members, percent, most, tried), "outsiders")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = linked(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), members, percent, links)
+        of = components(links)
+        if (more := pairs.where("more").select("key").distinct()).isEmpty():
+            break
+        ended = ended.join(more, "key", "left_semi")
     found = member.join(of.withColumnRenamed("node", "rep"), "rep", "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     found = found.union(all_rows.where("doc_id is null or d1 is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
@@ -309,9 +351,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that near_duplicates() keeps, and of rows with one doc_id only one.
+    """The rows of docs, all columns, that near_duplicates() keeps.
 
-    Rows with a null doc_id stay.
+    Of rows equal in doc_id and text one stays, that with the lowest hash of its other columns (maps aside). Rows of
+    one doc_id with other texts are one node, so they stay or go together. Rows with a null doc_id stay.
     """
     kept = stored(near_duplicates(docs, k, percent).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "kept")
     out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
@@ -319,7 +362,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if again.isEmpty():
         return out
     is_again = docs["doc_id"].cast("long") == again["_id"]
-    return out.join(again, is_again, "left_anti").union(out.join(again, is_again, "left_semi").dropDuplicates(["doc_id"]))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    first = F.row_number().over(Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(F.xxhash64(*plain)))
+    copies = out.join(again, is_again, "left_semi").withColumn(rank := unused(docs, "rank"), first)
+    return out.join(again, is_again, "left_anti").union(copies.where(F.col(rank) == 1).drop(rank))
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
