@@ -8,7 +8,7 @@ import pytest
 from tickframe.llm import common, lines
 from tickframe.llm.common import table
 
-from .fixtures import odd_docs
+from .fixtures import odd_docs, rows
 
 
 def cut(line):
@@ -101,3 +101,9 @@ def test_halves_lose_no_pair():
         assert set(lines.halves(a)) & set(lines.halves(b))
         ka, kb = lines.variants(a), lines.variants(b)
         assert set(ka[0].tolist()) & set(kb[0].tolist())
+
+
+def test_columns_of_the_counts_names_stay(spark):
+    docs = spark.createDataFrame([(1, "one line\nanother line", 77, 5), (2, "one line\nits own", 78, 6)], "doc_id long, text string, n_lines int, N_Dropped int")
+    got = lines.without_repeats(docs)
+    assert got.columns == docs.columns and rows(got) == [(1, "one line\nanother line", 77, 5), (2, "its own", 78, 6)]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checked, lower_words, mixed, stored, table, texts_of, word_hashes
+from .common import WORD, bounded, checked, lower_words, mixed, stored, table, texts_of, unused, word_hashes
 
 #: Every line with a word goes as an exact copy; from NEAR words on also within one word of an earlier one.
 LEAST, NEAR = 1, 10
@@ -163,7 +163,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     return copies.union(near)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, added: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """docs with all columns, text without its repeated lines; and n_lines, n_dropped as the last two columns.
 
     Lines run over all documents in the order of doc_id and place in the text. Words are compared with A-Z in
@@ -177,10 +177,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Null text stays null with 0 lines. Rows with a null doc_id take no part and stay whole. Equal rows are
     treated alike: each keeps the lines that the first keeps. An empty table gives no rows. Columns of docs
-    may have any names; n_lines and n_dropped of docs itself would be ambiguous and are replaced. A column
+    may have any names; those of the names in added, which the last two columns take, are replaced. A column
     n_chars is brought up to date.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = bounded(docs).drop(*added)
     names = docs.columns
     gone = repeats(docs).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(F.struct("line_no", "d1")).alias("_gone"))
     gone = checked(stored(gone, "gone"), "_gone")
@@ -203,15 +203,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             cols[at] = pa.array(texts, batch.schema.field(at).type)
             if "n_chars" in names and pa.types.is_integer(batch.schema.field(n := names.index("n_chars")).type):
                 cols[n] = pa.array([old if t is None else len(t) for t, old in zip(texts, cols[n].to_pylist(), strict=True)], cols[n].type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(cut, pa.int64())], [*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64()), pa.array(cut, pa.int64())], [*names, *added])
 
-    return joined.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]).add("n_lines", "long").add("n_dropped", "long"))
+    return joined.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]).add(added[0], "long").add(added[1], "long"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs, its own columns, without repeated lines; documents that lost every line with a word go."""
-    out = dedup_lines(docs)
-    return out.where("n_dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns)
+    lines, dropped = unused(docs, "_lines"), unused(docs, "_dropped")
+    out = dedup_lines(docs, (lines, dropped))
+    return out.where((F.col(dropped) == 0) | F.col("text").rlike(WORD)).drop(lines, dropped)
 
 
 def op5_lines(spark, sf_dir: str) -> DataFrame:

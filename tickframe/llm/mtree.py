@@ -146,23 +146,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     def part(batches):
         for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                x = scaled([v])[0]
-                near = held.value.get(len(x))
-                out.append(-1 if near is None else int((((near[1][:parts] - x) ** 2).sum(1)).argmin()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(v) for v in batch.column(1).to_pylist()], pa.int32()), pa.array(out, pa.int32())], ["vec_id", "embedding", "dims", "part"])
+            vectors = batch.column(1).to_pylist()
+            dims = np.array([len(v) for v in vectors], np.int32)
+            out = np.full(len(vectors), -1, np.int32)
+            for d in np.unique(dims):
+                if (near := held.value.get(int(d))) is not None:
+                    at, routers = np.flatnonzero(dims == d), near[1][:parts]
+                    out[at] = ((routers**2).sum(1) - 2 * scaled([vectors[i] for i in at]) @ routers.T).argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims), pa.array(out)], ["vec_id", "embedding", "dims", "part"])
 
     parted = stored(kept.mapInArrow(part, "vec_id long, embedding array<double>, dims int, part int"), "parted")
-    salts = parted.groupBy("dims", "part").agg(F.ceil(F.count("*") / TREE).alias("salts"))
-    parted = parted.join(checked(stored(salts, "salts")), ["dims", "part"])
+    salts = stored(parted.groupBy("dims", "part").agg(F.ceil(F.count("*") / TREE).alias("salts")), "salts")
+    parted = parted.join(checked(salts), ["dims", "part"])
     parted = parted.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.hash("embedding")), F.col("salts")))
 
     def grow(key, frame: pd.DataFrame) -> pd.DataFrame:
         tree = build(frame["vec_id"].to_numpy(), scaled(list(frame["embedding"])), norm)
-        return pd.DataFrame({"dims": [key[0]], "tree": [f"{key[1]}/{key[2]}"], "pages": [pickle.dumps(tree)]})
+        return pd.DataFrame({"dims": [key[0]], "part": [key[1]], "salt": [key[2]], "pages": [pickle.dumps(tree)]})
 
-    trees = stored(parted.select("dims", "part", "salt", "vec_id", "embedding").groupBy("dims", "part", "salt").applyInPandas(grow, "dims int, tree string, pages binary"), "trees")
+    trees = stored(parted.select("dims", "part", "salt", "vec_id", "embedding").groupBy("dims", "part", "salt").applyInPandas(grow, "dims int, part int, salt long, pages binary"), "trees")
 
     def bound(batches):
         for batch in batches:
@@ -177,8 +179,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     blocks = max(1, -(-asked.count() // BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.hash("embedding")), F.lit(blocks)))
     asked = asked.groupBy("dims", "block").agg(F.collect_list(F.struct("vec_id", "embedding", "least")).alias("queries"))
-    units = trees.select("dims", "tree").join(asked, "dims")
-    units = trees.join(units, ["dims", "tree"]).select("pages", "queries")
+    # a block of queries and a tree meet under the tree's own key: part by part, then by the salts of each part
+    by_part = asked.withColumn("part", F.explode(F.sequence(F.lit(-1), F.lit(parts - 1))))
+    by_tree = by_part.join(salts, ["dims", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    units = trees.join(by_tree, ["dims", "part", "salt"]).select("pages", "queries")
 
     def run(batches):
         last = None

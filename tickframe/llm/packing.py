@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, table, texts_of
+from .common import bounded, partitions, stored, table, texts_of
 
 #: Distinct words whose ids a worker remembers in each of two generations, some 200 bytes each, and the longest such word in bytes.
 REMEMBER, REMEMBER_BYTES = 200_000, 64
@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, path: str, size: int, end: int, with_ids: bool = Fal
                         c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)]], ["doc_id", *[n for n, _ in fields]])
 
-    docs = docs.select("doc_id", "text")
+    docs = bounded(docs).select("doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowest, stored, table, texts_of
+from .common import bounded, lowest, stored, table, texts_of
 from .tagger import KINDS, Tagger, encoded, tags_of
 
 #: Windows of WIDTH code points start every STEP: each place lies in two, once near the middle.
@@ -95,7 +95,7 @@ def training_windows(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "kind int, hash string, chars binary, tags binary")
+    return bounded(docs).select("text").mapInArrow(run, "kind int, hash string, chars binary, tags binary")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 220) -> Tagger | None:
@@ -104,7 +104,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 220) -> Tagger | N
     Training runs in a task, on that bounded sample alone. Each window is also shown with half of its digits
     drawn anew, so that the shape counts and not the number.
     """
-    windows = stored(training_windows(docs).dropDuplicates(["hash"]), "windows")
+    of = training_windows(docs).groupBy("hash").agg(F.min(F.struct("kind", "tags", "chars")).alias("w"))  # equal windows may differ in tags
+    windows = stored(of.select("w.kind", "hash", "w.chars", "w.tags"), "windows")
     chosen = None
     for k, n in windows.groupBy("kind").count().collect():
         part = lowest(windows.where(F.col("kind") == k), sample, n, "hash")
@@ -184,7 +185,7 @@ def find(docs: DataFrame, model: Tagger | None) -> DataFrame:
             cols.append(pa.array([joined(b + m) for b, m in zip(bases, more, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "n_added", "spans"])
 
-    docs = docs.select("doc_id", "text")
+    docs = bounded(docs).select("doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, n_added long, spans string")
 
 

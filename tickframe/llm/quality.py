@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table, texts_of, word_hashes, mixed
+from .common import bounded, mixed, table, texts_of, word_hashes
 
 CHUNK = 1024
 #: Up to so many bytes: whole-text ratio at least, at most; chunk ratio at least, at most.
@@ -71,7 +71,7 @@ def measured(text: bytes, compress) -> tuple:
     return len(words), chars, symbols, len(lines) - len(set(lines)), again, failed, ratio, low, high, kept
 
 
-def quality(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def quality(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): the counts of the base rules, compression ratios and the verdict.
 
     zstandard (level 3) compresses the whole text and each chunk of CHUNK bytes; a text whose ratios
@@ -90,7 +90,7 @@ def quality(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             cols = [pa.array(x, t) for x, t in zip(rows, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", *[x.split()[0] for x in _SCHEMA.split(", ")]])
 
-    docs = docs.select("doc_id", "text")
+    docs = bounded(docs).select("doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}")
 
 
@@ -104,7 +104,7 @@ def filtered(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([measured(x, compress)[-1] for x in texts_of(batch)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stored, table, texts_of
+from .common import bounded, new_path, partitions, stored, table, texts_of
 
 #: Payloads shorter than this are always stored in full.
 LEAST = 100
 #: A read joins records that lie at most GAP bytes apart and is at most SPAN bytes, but for one larger record.
 GAP, SPAN = 64 << 10, 8 << 20
 #: A task reads the records of so many bytes of one file.
-SLICE = 64 << 20
+SLICE = 16 << 20
 _DATE = "2000-01-01T00:00:00Z"
 _INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 
@@ -76,11 +76,13 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     smallest id's rows are responses.
     """
     payload = F.coalesce("html", F.lit(""))
+    bounded(pages)
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("text"))
     pages = pages.withColumn("digest", F.sha2("text", 256))
     many = pages.where(F.octet_length("text") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    pages = pages.join(many, "digest", "left")
-    pages = pages.select("page_id", "url", "text", "digest", F.when((F.col("first") < F.col("page_id")) & (F.octet_length("text") >= LEAST), F.col("first")).alias("refers_to"))
+    # payloads travel by page, not by digest: one page that many hosts serve is no hot key
+    revisits = pages.where(F.octet_length("text") >= LEAST).select("page_id", "digest").join(many, "digest").where("first < page_id").distinct()
+    pages = pages.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "text", "digest", F.col("first").alias("refers_to"))
 
     def run(batches):
         fs, at = open_folder(folder)
@@ -112,8 +114,11 @@ def read(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
     Records are dealt out by file and slice, sorted by offset, and read in joined ranges: the archive is not
     read where nothing was selected. A damaged record raises an error; it is never skipped.
     """
+    bounded(index)
     spans = index.select("file", "offset", "length").withColumn("slice", F.floor(F.col("offset") / SLICE))
-    spans = spans.repartition("file", "slice").sortWithinPartitions("file", "offset")
+    # a number of tasks by bytes of archive, which index rows are too small to show
+    tasks = max(partitions(index.sparkSession), -(-(index.agg(F.sum("length")).first()[0] or 0) // SLICE))
+    spans = spans.repartition(tasks, "file", "slice").sortWithinPartitions("file", "offset")
     fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * with_payload
     schema = pa.schema(fields)
 
