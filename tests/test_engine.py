@@ -291,3 +291,43 @@ def test_durations(text, ns):
 def test_bad_duration():
     with pytest.raises(ValueError):
         T.duration_ns("1 m")
+
+
+def test_ranks_and_floors_over_many_ranges(spark):
+    import random
+
+    from tickframe.operators.ranges import numbered
+
+    rng = random.Random(3)
+    rows = [(rng.choice([rng.randrange(1 << 60), 5, 7]), str(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, name string")
+    for at_least in (1 << 16, 20, 1):
+        got = [(r.n, r.seq, r.name) for r in numbered(df, "n", "seq", "name", at_least=at_least).orderBy("n").collect()]
+        assert got == [(i + 1, *r) for i, r in enumerate(sorted(rows))]
+    assert numbered(df.limit(0), "n", "seq").count() == 0
+
+
+def test_dedup_none_keeps_all_writes(spark, tmp_path):
+    from tickframe.engine import Engine
+
+    kept = {}
+    for dedup in ("last", "none"):
+        e = Engine(spark, f"file://{tmp_path}/{dedup}", dedup=dedup)
+        for seq, value in ((0, 10.0), (1, 11.0)):
+            e.write("m", {"a": "b"}, 1_000_000_000, value, seq)
+        kept[dedup] = [(r.value, r["count"]) for r in e.query_range("m", {"a": "b"}, 0, 2_000_000_000, "sum", "1s").collect()]
+    assert kept == {"last": [(11.0, 1)], "none": [(21.0, 2)]}
+
+
+def test_compaction_keeps_the_boundary_point(spark, tmp_path):
+    from tickframe.sources.store import COARSE
+    from tickframe.engine import Engine
+
+    s = 1_000_000_000
+    t0 = 1767225600 * s
+    e = Engine(spark, f"file://{tmp_path}/edge", window="1h", downsample="1m")
+    rows = [("m", {}, t0, 1.0, 0), ("m", {}, t0 + 30 * s, 2.0, 1), ("m", {}, t0 + 60 * s, 3.0, 2), ("m", {}, t0 + 7200 * s, 4.0, 3)]
+    e.ingest(spark.createDataFrame(rows, "name string, labels map<string,string>, ts_ns long, value double, seq long"))
+    e.compact()
+    got = {(r.ts_ns, r.value) for r in e.store.read(COARSE).collect()}
+    assert {(t0, 1.5), (t0 + 60 * s, 3.0)} <= got

@@ -35,6 +35,7 @@ class Engine:
     def ingest(self, points: DataFrame, failfast: bool = False) -> DataFrame:
         """Writes points (name, labels, ts_ns, value, seq); returns the rows turned away, with reason."""
         good, bad = requests.accept(points, failfast)
+        accepted = good.persist()  # read for the series, the ids and the points
         if self.late:
             newest = self.store.blocks().agg(F.max("shard_start")).first()[0]
             judged = P.floors(good, self.window, newest if newest is not None else -(1 << 62))
@@ -49,6 +50,7 @@ class Engine:
         old = self.store.version()
         self.store.write(rows)
         own = self.store.blocks(old + 1).agg(F.sum("points")).first()[0] or 0
+        accepted.unpersist()
         self.metrics.count("series_registered", dim.count() - before)
         self.metrics.count("points_ingested", own - (self.store.blocks(old).agg(F.sum("points")).first()[0] or 0))
         self.metrics.count("blocks_flushed", max(0, self.store.blocks(old + 1).count() - self.store.blocks(old).count()))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeutil import bucket
+from .ranges import range_of
 
 SCHEMA = "series_id long, ts_ns long, value double, seq long"
 
@@ -16,17 +17,14 @@ def last_write_wins(points: DataFrame, *keys: str) -> DataFrame:
     return points.groupBy(*keys, "ts_ns").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
 
 
-def floors(points: DataFrame, window: int, first_floor: int, chunks: int = 64) -> DataFrame:
+def floors(points: DataFrame, window: int, first_floor: int, chunks: int | None = None) -> DataFrame:
     """points with floor, the start of the newest shard before each, in seq order over all series.
 
     The running maximum is taken in two steps, so no task sees all points: seq is cut in ranges, each range's
-    maximum runs over the few ranges, and points run over their own range from the maximum before it.
+    maximum runs over the few ranges, and points run over their own range from the maximum before it. The number of
+    ranges follows that of points (or is chunks), their bounds are quantiles of seq.
     """
-    lo, hi = points.agg(F.min("seq"), F.max("seq")).first()
-    if lo is None:
-        return points.withColumn("floor", F.lit(first_floor))
-    width = max(1, -(-(hi - lo + 1) // chunks))
-    points = points.withColumn("_range", F.floor((F.col("seq") - lo) / width))
+    points = points.withColumn("_range", range_of(points, "seq", parts=chunks))
     top = points.groupBy("_range").agg(F.max("ts_ns").alias("_top"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     top = top.withColumn("_before", F.max("_top").over(before)).drop("_top")
@@ -37,5 +35,5 @@ def floors(points: DataFrame, window: int, first_floor: int, chunks: int = 64) -
     return points.withColumn("floor", floor).drop("_range", "_own", "_before")
 
 
-def on_time(window: int | None = None) -> Column:
+def on_time() -> Column:
     return F.col("ts_ns") >= F.col("floor")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from .ranges import numbered
 
 SCHEMA = "series_id long, name string, labels map<string,string>"
 
@@ -24,11 +25,11 @@ def unregistered(points: DataFrame, series: DataFrame) -> DataFrame:
 def register(points: DataFrame, series: DataFrame) -> DataFrame:
     """Rows to append to series: ids go on from the largest in the order of the first seq (one writer at a time).
 
-    The window without a partition runs over new series only, a row each, not over points.
+    New series are numbered in two steps, by ranges of their first seq and inside them, so a first load of very
+    many series does not meet in one task.
     """
     last = series.agg(F.coalesce(F.max("series_id"), F.lit(0)).alias("last"))
-    order = Window.orderBy("first_seq", "name", "k")
-    fresh = unregistered(points, series).withColumn("n", F.row_number().over(order)).crossJoin(F.broadcast(last))
+    fresh = numbered(unregistered(points, series), "n", "first_seq", "name", "k").crossJoin(F.broadcast(last))
     return fresh.select((F.col("last") + F.col("n")).cast("long").alias("series_id"), "name", F.map_from_entries("k").alias("labels"))
 
 

@@ -16,6 +16,7 @@ from ..operators import aggregate as A
 from ..operators import points as P
 from ..operators import series as S
 from ..sources import requests, wal
+from ..streaming.ingest import files, windowed
 from ..streaming.late import OUT, judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -387,6 +388,29 @@ def json_results(spark, sf_dir):
     return rows.select(F.to_json(F.struct("ts", "count")).alias("json"))
 
 
+@query(f"""WITH r AS (SELECT name, ts_ns - ts_ns % {HOUR} AS ts, max(value) AS value, count(*) AS n FROM {EVENTS} GROUP BY ALL)
+SELECT '{{"name":"' || name || '","ts":' || ts || ',"value":' || value || ',"count":' || n || '}}' AS json FROM r""")
+def json_values(spark, sf_dir):
+    """Results of all series with their values, as JSON."""
+    rows = A.aggregate(events(spark, sf_dir), "max", HOUR, ["name"])
+    return rows.select(F.to_json(F.struct("name", "ts", "value", "count")).alias("json"))
+
+
+@query(f"""WITH w AS (SELECT name, ts_ns - ts_ns % {HOUR} AS ts, avg(value) AS v, count(*) AS count FROM {EVENTS} GROUP BY ALL)
+SELECT name, ts, round(v + 1e-7, 4) AS value, count FROM w WHERE ts + {2 * HOUR} <= (SELECT max(ts_ns) FROM {EVENTS})""")
+def stream_windows(spark, sf_dir):
+    """Hourly windows of a stream, closed an hour after their end; the stream ends half way and goes on from its checkpoint."""
+    folder = session.work_dir(spark, "windows")
+    rows = events(spark, sf_dir).select("name", "ts_ns", "value")
+    middle = (rows.agg(F.coalesce(F.min("ts_ns") + F.max("ts_ns"), F.lit(0))).first()[0]) // 2
+    for half in (F.col("ts_ns") < middle, F.col("ts_ns") >= middle):
+        rows.where(half).write.mode("append").parquet(f"{folder}/in")
+        closed = windowed(files(spark, f"{folder}/in", schema="name string, ts_ns long, value double"), "1 hour", "1 hour")
+        closed.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("name string, ts long, value double, count long").parquet(f"{folder}/out")
+    return out.withColumn("value", F.round(F.col("value") + 1e-7, 4))
+
+
 # the record log --------------------------------------------------------------
 @query(f"SELECT CAST(seq AS BIGINT) AS seq, ts_ns, value FROM {EVENTS} WHERE seq >= 100")
 def log_replay(spark, sf_dir):

@@ -19,7 +19,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir; a temporary one in local mode where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/tickframe-{name}-{uuid.uuid4().hex}"

@@ -17,6 +17,8 @@ from ..functions.timeutil import HOUR, bucket, overlaps
 from ..operators import aggregate as A
 from ..operators import series as S
 
+#: Points that a task writes of a shard, some 100 MB; blocks whose list is broadcast.
+PART, HELD = 4_000_000, 250_000
 BLOCK = "tier string, gen long, shard_start long, points long, min_ts long, max_ts long, state string"
 RAW, COARSE = "raw", "downsampled"
 
@@ -67,21 +69,26 @@ class Store:
 
     def register(self, points: DataFrame) -> DataFrame:
         """Adds the series that points names and the store lacks; returns all series. One writer at a time."""
-        fresh = S.register(points, self.series())
-        gen = 1 + max(self._numbers("series", "gen=", False), default=0)
-        fresh.write.parquet(f"{self.root}/series/gen={gen}")
+        fresh = S.register(points, self.series()).persist()
+        if not fresh.isEmpty():
+            gen = 1 + max(self._numbers("series", "gen=", False), default=0)
+            fresh.write.parquet(f"{self.root}/series/gen={gen}")
+        fresh.unpersist()
         return self.series()
 
     # points --------------------------------------------------------------
     def write(self, points: DataFrame, tier: str = RAW, drop: DataFrame | None = None) -> int:
         """Appends points (series_id, ts_ns, value, ...) as a generation, less the blocks in drop; returns the version.
 
-        Points go to their own shard's partition. A shard may fill many tasks: the second key splits it.
+        Points go to their own shard's partition. A shard is split among as many tasks as its points call for, by
+        series and stretch of time, so neither a busy shard nor a busy series fills one task.
         """
         old, gen = self.version(), self._next_gen()
         path = f"{self.root}/points/tier={tier}/gen={gen}"
         points = points.withColumn("shard_start", bucket(F.col("ts_ns"), self.window))
-        out = points.repartition("shard_start", F.pmod("series_id", F.lit(8))).sortWithinPartitions("shard_start", "series_id", "ts_ns")
+        sizes = points.groupBy("shard_start").agg(F.ceil(F.count("*") / PART).alias("_parts"))
+        part = F.pmod(F.xxhash64("series_id", bucket(F.col("ts_ns"), max(1, self.window // 16))), "_parts")
+        out = points.join(sizes, "shard_start").repartition("shard_start", part).drop("_parts").sortWithinPartitions("shard_start", "series_id", "ts_ns")
         out.write.partitionBy("shard_start").parquet(path)
         written = self.spark.read.schema(out.schema).parquet(path)
         own = written.groupBy("shard_start").agg(F.count("*").alias("points"), F.min("ts_ns").alias("min_ts"), F.max("ts_ns").alias("max_ts"))
@@ -104,7 +111,9 @@ class Store:
         rows = self.spark.read.schema(schema + ", gen long, shard_start long").option("basePath", base).parquet(*[f"{base}/gen={g}" for g in sorted(gens)])
         if start is not None:
             rows = A.in_range(rows, start, end, self.window)
-        live = F.broadcast(blocks.select("gen", "shard_start")) if len(gens) * 24 * 365 < 1_000_000 else blocks.select("gen", "shard_start")
+        live = blocks.select("gen", "shard_start")
+        if live.count() <= HELD:
+            live = F.broadcast(live)
         return rows.join(live, ["gen", "shard_start"], "left_semi").drop("gen")
 
     # upkeep --------------------------------------------------------------
