@@ -107,3 +107,13 @@ def test_columns_of_the_counts_names_stay(spark):
     docs = spark.createDataFrame([(1, "one line\nanother line", 77, 5), (2, "one line\nits own", 78, 6)], "doc_id long, text string, n_lines int, N_Dropped int")
     got = lines.without_repeats(docs)
     assert got.columns == docs.columns and rows(got) == [(1, "one line\nanother line", 77, 5), (2, "its own", 78, 6)]
+
+
+@pytest.mark.parametrize("columns", [["doc_id", "text"], ["*"]])
+def test_texts_move_once(spark, sf, columns):
+    """One plan at every size: what moves documents to the places of their lines is read again, not done again."""
+    got = lines.dedup_lines(table(spark, sf, "documents").select(*columns))
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [x for x in plan.split("\n") if "FileScan" in x and "text" in x]
+    assert len(moved) == 2 and any("ReusedExchange" in x and "text" in x for x in plan.split("\n")), plan

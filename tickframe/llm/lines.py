@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, bounded, checked, lower_words, mixed, stored, table, texts_of, unused, word_hashes
+from .common import WORD, bounded, lower_words, mixed, stored, table, texts_of, unused, word_hashes
 
 #: Every line with a word goes as an exact copy; from NEAR words on also within one word of an earlier one.
 LEAST, NEAR = 1, 10
@@ -64,8 +64,8 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, d1, d2 and, from NEAR words on, h0 to h3 of each line of LEAST words or more."""
+def occurrences(docs: DataFrame, with_halves: bool = True) -> DataFrame:
+    """doc_id, line_no, d1, d2 of each line of LEAST words or more; h0 to h3 from NEAR words on, if asked for."""
     names = ["doc_id", "line_no", "d1", "d2", "h0", "h1", "h2", "h3"]
 
     def run(batches):
@@ -74,7 +74,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
                 for no, line in enumerate(text.split(b"\n")):
                     if len(words := lower_words(line)) >= LEAST:
-                        rows.append((doc_id, no, *digest(words), *(halves(words) if len(words) >= NEAR else (None,) * 4)))
+                        rows.append((doc_id, no, *digest(words), *(halves(words) if with_halves and len(words) >= NEAR else (None,) * 4)))
             cols = list(zip(*rows, strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "line_no" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
 
@@ -82,19 +82,44 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, line_no int, d1 long, d2 long, h0 long, h1 long, h2 long, h3 long")
 
 
-def suspects(docs: DataFrame, owners: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: the id, or for null ids a hash of the text, and which it is.
+
+    So rows without an id don't meet in one task when documents move to their marks.
+    """
+    key, known = unused(docs, "_key"), unused(docs, "_known")
+    id_ = F.col("doc_id").cast("long")
+    return docs.withColumns({key: F.coalesce(id_, F.xxhash64("text")), known: id_.isNotNull()}), key, known
+
+
+def marked(at: tuple[DataFrame, str, str], marks: DataFrame, name: str) -> DataFrame:
+    """The documents with all their columns and, last, what marks (doc_id, name; one row per id) has for them, or null.
+
+    Both sides move by id, whatever their sizes. All uses in one query ask for the same columns of documents in the
+    same partitioning, so Spark moves the texts once and reads what it moved again (ReusedExchange).
+    """
+    docs, key, known = at
+    of, last = unused(docs, "_of"), unused(docs, "_marks")
+    marks = marks.select(F.col("doc_id").alias(of), F.col(name).alias(last))
+    joined = docs.join(marks.hint("shuffle_hash"), (docs[key] == marks[of]) & docs[known], "left")
+    return joined.select(*[docs[c] for c in docs.columns if c not in (key, known)], last)
+
+
+def suspects(at: tuple[DataFrame, str, str], owners: DataFrame) -> DataFrame:
     """doc_id, line_no, line: first occurrences that share half with another line."""
     half = F.explode(F.array("h0", "h1", "h2", "h3")).alias("key")
     keys = owners.where("h0 is not null").select(half, F.col("d1").alias("id"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     ids = keys.join(shared, "key", "left_semi").select(F.col("id").alias("d1")).distinct()
     wanted = owners.join(ids, "d1", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "d1")).alias("wanted"))
-    wanted = checked(stored(wanted, "wanted"), "wanted")
+    found = marked(at, stored(wanted, "wanted"), "wanted")
+    id_ = found.columns.index("doc_id")
 
     def run(batches):
         for batch in batches:
             rows = []
-            for doc_id, text, wanted in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist(), strict=True):
+            batch = batch.filter(batch.column(batch.num_columns - 1).is_valid())
+            for doc_id, text, wanted in zip(batch.column(id_).cast(pa.int64()).to_pylist(), texts_of(batch), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 lines = text.split(b"\n")
                 for w in wanted:
                     if w["line_no"] < len(lines) and digest(words := lower_words(lines[w["line_no"]]))[0] == w["d1"]:
@@ -102,8 +127,7 @@ def suspects(docs: DataFrame, owners: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "line_no", "line"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").mapInArrow(run, "doc_id long, line_no int, line binary")
-    return stored(found.dropDuplicates(["doc_id", "line_no", "line"]), "suspects")
+    return found.mapInArrow(run, "doc_id long, line_no int, line binary").dropDuplicates(["doc_id", "line_no", "line"])
 
 
 def close(lines: DataFrame) -> DataFrame:
@@ -147,19 +171,19 @@ def close(lines: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "line_no", F.col("x").alias("line")).distinct()
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, d1 of every line that goes."""
+def repeats(docs: DataFrame, at: tuple[DataFrame, str, str]) -> DataFrame:
+    """doc_id, line_no, d1 of every line of docs that goes; at is keyed(docs)."""
     found = occurrences(docs)
     owners = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("o"), F.count("*").alias("n"), *[F.max(h).alias(h) for h in ("h0", "h1", "h2", "h3")])
     owners = stored(owners.select("d1", "d2", "o.doc_id", "o.line_no", "n", "h0", "h1", "h2", "h3"), "owners")
     several = owners.where("n > 1").select("d1", "d2", F.col("doc_id").alias("od"), F.col("line_no").alias("ol"))
-    copies = found.select("doc_id", "line_no", "d1", "d2").join(several, ["d1", "d2"]).where("doc_id <> od or line_no <> ol").select("doc_id", "line_no", "d1")
+    copies = occurrences(docs, with_halves=False).select("doc_id", "line_no", "d1", "d2").join(several, ["d1", "d2"]).where("doc_id <> od or line_no <> ol").select("doc_id", "line_no", "d1")
 
     def add_digest(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([digest(x.split(b" "))[0] for x in batch.column(2).to_pylist()], pa.int64())], ["doc_id", "line_no", "d1"])
 
-    near = close(suspects(docs, owners)).mapInArrow(add_digest, "doc_id long, line_no int, d1 long")
+    near = close(suspects(at, owners)).mapInArrow(add_digest, "doc_id long, line_no int, d1 long")
     return copies.union(near)
 
 
@@ -173,7 +197,8 @@ def dedup_lines(docs: DataFrame, added: tuple[str, str] = ("n_lines", "n_dropped
 
     All lines are first reduced to their distinct ones (earliest per digest). Only lines that share half with
     another (see halves, which loses no pair) emit their deletion variants, which join as hashed keys, and
-    what joins is verified word by word.
+    what joins is verified word by word. Texts move once, by id, to the places of their lines; there is one plan
+    at every size, and nothing is broadcast by a count of rows.
 
     Null text stays null with 0 lines. Rows with a null doc_id take no part and stay whole. Equal rows are
     treated alike: each keeps the lines that the first keeps. An empty table gives no rows. Columns of docs
@@ -182,10 +207,9 @@ def dedup_lines(docs: DataFrame, added: tuple[str, str] = ("n_lines", "n_dropped
     """
     docs = bounded(docs).drop(*added)
     names = docs.columns
-    gone = repeats(docs).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(F.struct("line_no", "d1")).alias("_gone"))
-    gone = checked(stored(gone, "gone"), "_gone")
-    key = F.col("doc_id").cast("long")
-    joined = docs.join(gone, key == F.col("_of"), "left").select(*[docs[c] for c in names], "_gone")
+    at = keyed(docs)
+    gone = repeats(docs, at).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "d1")).alias("gone"))
+    joined = marked(at, gone, "gone")
 
     def run(batches):
         for batch in batches:
