@@ -7,12 +7,20 @@ import numpy as np
 CONTEXT, DIM, BATCH, NOISE = 2, 24, 1024, 64
 
 
-def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct indices and the sums of their rows."""
-    order = np.argsort(at.astype(np.uint16), kind="stable")  # fewer than 65536 symbols
-    sorted_ = at[order]
-    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    return sorted_[first], np.add.reduceat(rows[order], first, axis=0)
+def summed(at: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indices (below n) and the sums of their rows."""
+    width = rows.shape[1]
+    cells = (at * width)[:, None] + np.arange(width)
+    sums = np.bincount(cells.ravel(), rows.ravel(), n * width).reshape(n, width)
+    distinct = np.flatnonzero(np.bincount(at, minlength=n))
+    return distinct, sums.take(distinct, 0).astype(np.float32)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    y = np.negative(x)
+    np.exp(np.minimum(y, np.float32(80), out=y), out=y)
+    y += np.float32(1)
+    return np.reciprocal(y, out=y)
 
 
 class Model:
@@ -45,9 +53,10 @@ class Model:
         return out
 
     def _move(self, name: str, at: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        seen = self.seen[name]
-        seen[at] += (grad**2).mean(1)
-        self.w[name][at] -= (rate * grad / np.sqrt(seen[at])[:, None]).astype(np.float32)
+        seen = self.seen[name].take(at) + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+        self.seen[name][at] = seen
+        w = self.w[name]
+        w[at] = w.take(at, 0) - grad * (np.float32(rate) / np.sqrt(seen))[:, None]
 
     def train(self, ids: np.ndarray, starts: np.ndarray, rate: float = 0.05) -> None:
         """One pass of minibatches; NOISE symbols drawn by frequency serve a whole minibatch, so its scores are a matrix product."""
@@ -58,21 +67,20 @@ class Model:
             at = order[i : i + BATCH]
             c, t = before[at], ids[at]
             noise = np.minimum(np.searchsorted(self.steps, self.rng.random(NOISE)), len(self.p) - 1)
-            x = w["T"][c].reshape(len(at), CONTEXT * DIM)
+            x = w["T"].take(c, 0).reshape(len(at), CONTEXT * DIM)
             q = x @ w["C"]
-            r, rn = w["R"][t], w["R"][noise]
-            d = (q * r).sum(1) + w["b"][t, 0] - self.noise[t]
+            r, rn = w["R"].take(t, 0), w["R"].take(noise, 0)
+            d = np.einsum("ij,ij->i", q, r) + w["b"][t, 0] - self.noise[t]
             dn = q @ rn.T + w["b"][noise, 0] - self.noise[noise]
-            half = np.float32(0.5)
-            g = (half * np.tanh(half * d) - half) / np.float32(len(at))
-            gn = (half * np.tanh(half * dn) + half) / np.float32(len(at))
+            size = np.float32(len(at))
+            g, gn = -sigmoid(-d) / size, sigmoid(dn) / size
             dq = g[:, None] * r + gn @ rn
-            both, grad = summed(np.r_[t, noise], np.r_[np.c_[g[:, None] * q, g], np.c_[gn.T @ q, gn.sum(0)]])
+            both, grad = summed(np.r_[t, noise], np.r_[np.c_[g[:, None] * q, g], np.c_[gn.T @ q, gn.sum(0)]], len(self.p))
             dx = dq @ w["C"].T
             self._move("C", np.arange(CONTEXT * DIM), x.T @ dq, rate)
             self._move("R", both, grad[:, :DIM], rate)
             self._move("b", both, grad[:, DIM:], rate * 0.2)
-            self._move("T", *summed(c.ravel(), dx.reshape(-1, DIM)), rate)
+            self._move("T", *summed(c.ravel(), dx.reshape(-1, DIM), len(w["T"])), rate)
 
     def log10(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The normalised log10 probability of each symbol; normalisers are kept per context, as contexts recur."""
@@ -93,7 +101,8 @@ class Model:
                 rest = rest // (n + 1)
             s = q @ self.w["R"].T + self.w["b"][:, 0]
             m = s.max(1)
-            self.table[k] = m + np.log(np.exp(s - m[:, None]).sum(1))
+            s -= m[:, None]
+            self.table[k] = m + np.log(np.exp(s, out=s).sum(1))
         out = np.empty(len(ids))
         for i in range(0, len(ids), 65536):
             c, t = before[i : i + 65536], ids[i : i + 65536]
