@@ -16,11 +16,11 @@ def summed(at: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return distinct, sums.take(distinct, 0).astype(np.float32)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    y = np.negative(x)
+def share(y: np.ndarray, whole: np.float32) -> np.ndarray:
+    """whole * sigmoid(-y), in place of y."""
     np.exp(np.minimum(y, np.float32(80), out=y), out=y)
     y += np.float32(1)
-    return np.reciprocal(y, out=y)
+    return np.divide(whole, y, out=y)
 
 
 class Model:
@@ -70,12 +70,18 @@ class Model:
             x = w["T"].take(c, 0).reshape(len(at), CONTEXT * DIM)
             q = x @ w["C"]
             r, rn = w["R"].take(t, 0), w["R"].take(noise, 0)
-            d = np.einsum("ij,ij->i", q, r) + w["b"][t, 0] - self.noise[t]
-            dn = q @ rn.T + w["b"][noise, 0] - self.noise[noise]
-            size = np.float32(len(at))
-            g, gn = -sigmoid(-d) / size, sigmoid(dn) / size
-            dq = g[:, None] * r + gn @ rn
-            both, grad = summed(np.r_[t, noise], np.r_[np.c_[g[:, None] * q, g], np.c_[gn.T @ q, gn.sum(0)]], len(self.p))
+            one = np.float32(1) / np.float32(len(at))
+            g = share(np.einsum("ij,ij->i", q, r) + (w["b"].take(t) - self.noise.take(t)), -one)
+            gn = q @ np.negative(rn).T
+            gn += self.noise.take(noise) - w["b"].take(noise)
+            share(gn, one)
+            dq = gn @ rn
+            dq += g[:, None] * r
+            rows = np.empty((len(at) + NOISE, DIM + 1), np.float32)
+            np.multiply(q, g[:, None], out=rows[: len(at), :DIM])
+            rows[: len(at), DIM] = g
+            rows[len(at) :, :DIM], rows[len(at) :, DIM] = gn.T @ q, gn.sum(0)
+            both, grad = summed(np.concatenate((t, noise)), rows, len(self.p))
             dx = dq @ w["C"].T
             self._move("C", np.arange(CONTEXT * DIM), x.T @ dq, rate)
             self._move("R", both, grad[:, :DIM], rate)
@@ -93,13 +99,15 @@ class Model:
         for j in range(1, CONTEXT):
             key = key * (n + 1) + before[:, j]
         fresh = np.unique(key[np.isnan(self.table[key])])
-        for i in range(0, len(fresh), 1024):
-            k = fresh[i : i + 1024]
+        out_of, own = np.ascontiguousarray(self.w["R"].T), self.w["b"][:, 0]
+        for i in range(0, len(fresh), 128):  # scores of so many contexts stay in a core's cache
+            k = fresh[i : i + 128]
             q, rest = 0, k
             for j in reversed(range(CONTEXT)):
                 q = q + self.part[j][rest % (n + 1)]
                 rest = rest // (n + 1)
-            s = q @ self.w["R"].T + self.w["b"][:, 0]
+            s = q @ out_of
+            s += own
             m = s.max(1)
             s -= m[:, None]
             self.table[k] = m + np.log(np.exp(s, out=s).sum(1))

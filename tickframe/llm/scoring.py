@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -61,29 +61,35 @@ class Head:
         self.log = np.log10(self.count + 0.5)
 
 
-def placed(texts: list[bytes], head: Head) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Places of all texts' tokens in a row (-1: not in head), marks of first ones, and each text's other words."""
-    places: list[int] = []
-    lengths, others = [], []
-    get, end, never = head.place.get, head.place[END], itertools.repeat(-1)
-    for x in texts:
+def placed(texts: list[bytes], head: Head) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Places of all texts' tokens in a row (-1: not in head), first places of texts, the words not in head, and each one's text."""
+    get, never = head.place.get, itertools.repeat(-1)
+    found, others, of = [], [], []
+    end = np.array([head.place[END]], np.int32)
+    for k, x in enumerate(texts):
         words = lower_words(x)
-        own = list(map(get, words, never))
-        others.append([w for w, i in zip(words, own, strict=True) if i < 0] if -1 in own else [])
-        own.append(end)
-        places += own
-        lengths.append(len(own))
-    starts = np.zeros(len(places), bool)
-    starts[np.cumsum([0, *lengths[:-1]])] = True
-    return np.asarray(places, np.int64), starts, others
+        own = np.fromiter(map(get, words, never), np.int32, len(words))
+        found += (own, end)
+        if len(out := np.flatnonzero(own < 0)):
+            others += map(words.__getitem__, out.tolist())
+            of.append(np.full(len(out), k, np.int64))
+    lengths = np.fromiter(map(len, found), np.int64, len(found)).reshape(-1, 2).sum(1)
+    first = np.cumsum(lengths) - lengths
+    return np.concatenate(found).astype(np.int64), first, others, np.concatenate(of) if of else np.empty(0, np.int64)
 
 
-def symbols(places: np.ndarray, others: list[list[bytes]], head: Head) -> np.ndarray:
+def symbols(places: np.ndarray, others: list[bytes], head: Head) -> np.ndarray:
     out = head.symbol[places]
-    out[places < 0] = [WORDS + class_of(w) for x in others for w in x]
+    out[places < 0] = [WORDS + class_of(w) for w in others]
     return out
 
 
+def marks_of(first: np.ndarray, n: int) -> np.ndarray:
+    starts = np.zeros(n, bool)
+    starts[first] = True
+    return starts
+
+
 def trained(docs: DataFrame, held, frequency: np.ndarray) -> dict[str, np.ndarray]:
     """Weights after two rounds over disjoint parts of docs, an eighth and the rest, that is one pass over all.
 
@@ -103,8 +109,8 @@ def trained(docs: DataFrame, held, frequency: np.ndarray) -> dict[str, np.ndarra
                 texts += (new := texts_of(batch))
                 size += sum(map(len, new))
             if texts and (batch is None or size > 6 * CHUNK):
-                places, starts, others = placed(texts, held.value)
-                model.train(symbols(places, others, held.value), starts)
+                places, first, others, _ = placed(texts, held.value)
+                model.train(symbols(places, others, held.value), marks_of(first, len(places)))
                 total += len(places)
                 texts, size = [], 0
         for k, (name, v) in enumerate(model.w.items()):
@@ -176,21 +182,30 @@ def score(docs: DataFrame) -> DataFrame:
             _models[version] = Model(frequency)
             _models[version].w = weights.value
         model, head = _models[version], held.value
-        gathered: dict[bytes, tuple] = {}
+        number_of: defaultdict[bytes, int] = defaultdict()
+        number_of.default_factory = number_of.__len__
+        gathered: list[tuple[np.ndarray, ...]] = []
         entries = 0
 
         def rows():
-            keys = list(gathered)
-            for i in range(0, len(keys), 20_000):
-                part = [gathered[k] for k in keys[i : i + 20_000]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 20_000], pa.binary()), *[pa.array([p[j] for p in part], out.field(j + 1).type) for j in range(3)], pa.nulls(len(part), out.field(4).type)], schema=out)
+            which, *values = (np.concatenate(c) for c in zip(*gathered, strict=True))
+            order = np.argsort(which, kind="stable")
+            values = [v[order] for v in values]
+            ends = np.cumsum(np.bincount(which))
+            words = list(number_of)
+            for i in range(0, len(words), 20_000):
+                low = ends[i - 1] if i else 0
+                at = np.r_[low, ends[i : i + 20_000]]
+                offsets = pa.array((at - low).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v[low : at[-1]], out.field(j + 1).type.value_type)) for j, v in enumerate(values)]
+                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 20_000], pa.binary()), *lists, pa.nulls(len(at) - 1, out.field(4).type)], schema=out)
 
         for batch in itertools.chain(batches, [None]):
             ids, marks, own = [], [], []
             if batch is not None and batch.num_rows:
                 texts = texts_of(batch)
-                places, starts, others = placed(texts, head)
-                first = np.flatnonzero(starts)
+                places, first, others, of = placed(texts, head)
+                starts = marks_of(first, len(places))
                 lengths = np.diff(np.r_[first, len(places)])
                 syms = symbols(places, others, head)
                 log = model.log10(syms, starts)
@@ -206,19 +221,18 @@ def score(docs: DataFrame) -> DataFrame:
                     digest = xxhash.xxh3_64_intdigest(x)
                     key = doc_id if doc_id is not None else digest - (1 << 63)
                     mark = (digest & 0x7FFFFFFE) | (doc_id is None)
-                    for w, f in Counter(others[k]).items():
-                        got = gathered.get(w)
-                        if got is None:
-                            gathered[w] = ([key], [mark], [f])
-                        else:
-                            got[0].append(key), got[1].append(mark), got[2].append(f)
-                        entries += 1
                     ids.append(key), marks.append(mark)
                     own.append({"n_tokens": int(lengths[k]), "n_known": int(seen[k]), "base": float(base[k]), "score": float(score[k]), "held_out": out_})
                 yield pa.RecordBatch.from_arrays([pa.array([b"\n%d" % (ids[0] % 4096)], pa.binary()), *[pa.array([c], f.type) for c, f in zip((ids, marks, [0] * len(ids), own), list(out)[1:], strict=True)]], schema=out)
+                if others:
+                    pairs, f = np.unique((of << 32) | np.fromiter(map(number_of.__getitem__, others), np.int64, len(others)), return_counts=True)
+                    doc = pairs >> 32
+                    gathered.append((pairs & 0xFFFFFFFF, np.array(ids, np.int64)[doc], np.array(marks, np.int32)[doc], f))
+                    entries += len(pairs)
             if entries and (batch is None or entries > FLUSH):
                 yield from rows()
-                gathered, entries = {}, 0
+                gathered.clear(), number_of.clear()
+                entries = 0
 
     found = docs.mapInArrow(run, "word binary, ids array<long>, marks array<int>, fs array<long>, own array<struct<n_tokens:long,n_known:long,base:double,score:double,held_out:boolean>>")
     joined = found.join(counts.select("word", "n"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
